@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arbora.llm import setjoin
+from arbora.llm import bpe, leaks, setjoin
 from arbora.runtime import table
 
 
@@ -17,6 +17,19 @@ def p3_found(spark, d):
     return setjoin.expand(links, members).select(F.col("a").alias("from_user_id_a"), F.col("b").alias("from_user_id_b"))
 
 
+def p8_ids(spark, d):
+    return bpe.encode_table(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark, d):
+    """In how many documents each leaked item stands."""
+    return leaks.leaked_items(p9_found(spark, d))
+
+
 _SETS = """
 s AS (SELECT DISTINCT from_user_id AS k, to_user_id AS t FROM edges WHERE edge_type = 'follows' AND is_active = 1 AND from_user_id IS NOT NULL AND to_user_id IS NOT NULL),
 n AS (SELECT k, count(*) AS n FROM s GROUP BY k HAVING count(*) >= 5),
@@ -26,6 +39,9 @@ o AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS o FROM f a
 
 QUERIES = {
     "p3_found": p3_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 
 ORACLES = {
