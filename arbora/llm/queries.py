@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arbora.llm import bpe, leaks, setjoin
+from arbora.llm import bpe, canonical, leaks, setjoin
 from arbora.runtime import table
 
 
@@ -17,6 +17,15 @@ def p3_found(spark, d):
     return setjoin.expand(links, members).select(F.col("a").alias("from_user_id_a"), F.col("b").alias("from_user_id_b"))
 
 
+def p7_found(spark, d):
+    return canonical.map_values(table(spark, d, "user_profiles"), table(spark, d, "canonical_values"))
+
+
+def p7_misses(spark, d):
+    """Values of each field that mean no entry, and how many users have them."""
+    return p7_found(spark, d).where("ref_id = 0").groupBy("field").agg(F.count("*").alias("users"))
+
+
 def p8_ids(spark, d):
     return bpe.encode_table(table(spark, d, "documents"), "doc_id", "text")
 
@@ -39,6 +48,8 @@ o AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS o FROM f a
 
 QUERIES = {
     "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p7_misses": p7_misses,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
