@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arbora.llm import bpe, canonical, leaks, setjoin
+from arbora.llm import bpe, canonical, leaks, names, setjoin
 from arbora.runtime import table
 
 
+def p2_found(spark, d):
+    members, _ = names.same_person(table(spark, d, "user_profiles"), table(spark, d, "canonical_values"))
+    return names.account_pairs(members)
+
+
 def _follow_sets(spark, d):
     return table(spark, d, "edges").where("edge_type = 'follows' and is_active = 1").select("from_user_id", "to_user_id")
 
@@ -47,6 +52,7 @@ o AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS o FROM f a
 """
 
 QUERIES = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p7_misses": p7_misses,
