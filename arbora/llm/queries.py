@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arbora.llm import bpe, canonical, leaks, names, setjoin
+from arbora.llm import bpe, canonical, leaks, names, sentences, setjoin
 from arbora.runtime import table
 
 
@@ -44,6 +44,16 @@ def p9_items(spark, d):
     return leaks.leaked_items(p9_found(spark, d))
 
 
+def p10_found(spark, d):
+    return sentences.split_table(table(spark, d, "documents"))
+
+
+def p10_counts(spark, d):
+    """Sentences and their mean length of every document that has any."""
+    found = p10_found(spark, d)
+    return found.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.round(F.avg(F.col("end_pos") - F.col("start_pos")), 6).alias("mean_length"))
+
+
 _SETS = """
 s AS (SELECT DISTINCT from_user_id AS k, to_user_id AS t FROM edges WHERE edge_type = 'follows' AND is_active = 1 AND from_user_id IS NOT NULL AND to_user_id IS NOT NULL),
 n AS (SELECT k, count(*) AS n FROM s GROUP BY k HAVING count(*) >= 5),
@@ -59,6 +69,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_counts": p10_counts,
 }
 
 ORACLES = {
