@@ -60,14 +60,17 @@ def range_bounds(k: int, least: int) -> tuple[int, int]:
 def most_different(b: int, k: int, least: int, num: int, den: int) -> int:
     """Largest difference between a set of size b and a similar one, not larger, of range k; -1 if there is none."""
     lo, hi = range_bounds(k, least)
-    sizes = range(max(lo, -((-num * b) // den)), min(hi, b) + 1)
+    least_a, most_a = max(lo, -((-num * b) // den)), min(hi, b)
+    # The difference grows with a but for rounding, which repeats every num + den sizes.
+    sizes = range(max(least_a, most_a - num - den), most_a + 1)
     return max((a + b - 2 * needed(a, b, num, den) for a in sizes), default=-1)
 
 
 def segments(k: int, least: int, num: int, den: int) -> int:
     """Segments of range k: enough for one unit each at the largest difference any prober can have."""
     lo, hi = range_bounds(k, least)
-    worst = max(most_different(b, k, least, num, den) for b in range(lo, hi * den // num + 1))
+    most_b = hi * den // num
+    worst = max(most_different(b, k, least, num, den) for b in range(max(lo, most_b - num - den), most_b + 1))
     return max(2, (worst + 1) * 3 // 4 + 1)
 
 
