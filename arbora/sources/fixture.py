@@ -1,0 +1,79 @@
+"""A follow graph derived from the star-schema tables: the test input of the graph operators.
+
+Nodes are customers; an order's customer follows the customer whose key equals the ordered part's key. ``quantity`` sets
+the density (49: sparse with many components; 25: dense). The same derivation in SQL is ``plans.graph_queries.VIEWS``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from arbora.runtime import table
+from arbora.sources import model
+
+
+def raw(spark, d: str, quantity: int = 49) -> DataFrame:
+    lines = table(spark, d, "lineitem").where(F.col("l_quantity") >= quantity)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, d, "customer").select("c_custkey")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, lines.l_partkey == customers.c_custkey, "left_semi")
+    return joined.select(F.col("o_custkey").alias("f"), F.col("l_partkey").alias("t"), F.col("l_linenumber").alias("ln"), F.col("l_shipdate").alias("sd"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), F.col("l_discount").alias("dc"))
+
+
+def users(spark, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("login"))
+
+
+def edges(spark, d: str, quantity: int = 49) -> DataFrame:
+    kept = raw(spark, d, quantity)
+    both = kept.select("f", "t", "ln", "sd", "rf", "ls", F.explode(F.when(F.col("dc") >= 0.08, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("turned"))
+    directed = both.select(F.when(F.col("turned"), F.col("t")).otherwise(F.col("f")).alias("from_user_id"), F.when(F.col("turned"), F.col("f")).otherwise(F.col("t")).alias("to_user_id"), "ln", "sd", "rf", "ls")
+    kind = F.when((F.col("rf") == "A") & (F.col("ls") == "F"), "starred").otherwise("follows")
+    return directed.groupBy("from_user_id", "to_user_id", kind.alias("edge_type")).agg(
+        F.lit(1.0).alias("weight"),
+        F.min("ln").alias("degree"),
+        F.max(F.when((F.col("rf") == "A") & (F.col("ls") == "O"), 0).otherwise(1)).alias("is_active"),
+        F.min("sd").alias("first_seen_at"),
+        F.max("sd").alias("last_seen_at"),
+    )
+
+
+def follows(spark, d: str, quantity: int = 49) -> DataFrame:
+    return model.follows(edges(spark, d, quantity))
+
+
+def profiles(spark, d: str) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    wealth = F.floor(F.abs("c_acctbal")).cast("long")
+    return c.join(n, c.c_nationkey == n.n_nationkey).where("c_custkey % 10 <> 0").select(
+        F.col("c_custkey").alias("user_id"),
+        F.concat(F.lit("Name "), "c_name").alias("name"),
+        F.col("c_mktsegment").alias("company"),
+        F.col("n_name").alias("location"),
+        wealth.alias("followers"),
+        (wealth * 7 % 6000).alias("following"),
+        F.col("c_nationkey").cast("long").alias("public_repos"),
+    )
+
+
+def crawl_state(spark, d: str) -> DataFrame:
+    incoming = model.active(edges(spark, d)).groupBy("to_user_id").agg(F.min("degree").alias("degree"))
+    u = users(spark, d)
+    joined = u.join(incoming, u.id == incoming.to_user_id, "left")
+    r, p = F.col("id") % 7, F.col("id") % 11
+    return joined.select(
+        F.lit("follow_crawler").alias("crawler_name"),
+        F.col("login").alias("scope_key"),
+        F.when(r <= 2, "pending").when(r == 3, "in_progress").when(r == 4, "done").when(r == 5, "retry").otherwise("error").alias("status"),
+        F.when(p == 0, "high").when(p <= 2, "low").otherwise("normal").alias("priority"),
+        F.coalesce("degree", F.lit(0)).alias("degree"),
+        (F.col("id") % 3).cast("int").alias("error_count"),
+        F.lit(None).cast("string").alias("last_error"),
+        F.lit(None).cast("timestamp").alias("crawled_at"),
+        F.col("id").alias("seq"),
+    )
+
+
+def edge_batch(spark, d: str) -> DataFrame:
+    return raw(spark, d).where("dc >= 0.05").groupBy(F.col("t").alias("from_user_id"), F.col("f").alias("to_user_id")).agg(F.min("ln").alias("degree")).select("from_user_id", "to_user_id", F.lit("follows").alias("edge_type"), F.lit(1.0).alias("weight"), "degree")
