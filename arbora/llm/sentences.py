@@ -65,7 +65,7 @@ _TRIM = regex.compile(rf"[{SPACE}\x1c-\x1f\x85]+")
 _BLANK = regex.compile(rf"[^\S\n]*[﻿]*")
 _BULLET = regex.compile(r"[^\S\n\r]*(?:[-*•‣◦▪–—·+]\s+\S|・|[①-⑳]|[(（]?\d{1,3}[、．）]\s*\S|(\d{1,3})[.)]\s+\S)")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]*$")
-_AFTER_CJK = regex.compile(r"(?:[^\p{Han}\p{Hiragana}\p{Katakana}ー]|^)*$|[\p{Han}\p{Hiragana}\p{Katakana}ー]$")
+_AFTER_CJK = regex.compile(r"[^\p{Han}\p{Hiragana}\p{Katakana}ー]+$|[\p{Han}\p{Hiragana}\p{Katakana}ー]?$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’]+")
 _NEXT = regex.compile(rf"([{SPACE}]*)(.?)", regex.S)
 _LETTER = regex.compile(r"\p{L}")
@@ -206,7 +206,7 @@ class Block:
             if char in "」』":
                 return self.cut(end) if whole else 0
             if not whole:
-                return self.cut(end) if text[:opened].rstrip()[-1:] in ("：", ":") else 0
+                return self.cut(end) if text[max(0, opened - 20) : opened].rstrip()[-1:] in ("：", ":") else 0
             return 0 if any(w in CJK_SAYING for w in word_path(clause, set(CJK_SAYING))) else self.cut(end)
         if _CASELESS.match(after):
             return 0 if gap else self.cut(end) if after not in MARKS and whole else 0
@@ -272,7 +272,8 @@ class Block:
                     dotted = low in MAY_END and "." in low and opener
                     return self.cut(end) if (alone or numbered or dotted) and word.lower() not in FILE_ENDINGS and len(word) > 1 else 0
         # readings of the word before the mark
-        previous = _WORD_BEFORE.search(text, max(0, at - len(before) - 30), max(0, len(text[: at - len(before)].rstrip()))).group().lower() if before else ""
+        near = text[max(0, at - len(before) - 40) : at - len(before)].rstrip()
+        previous = _WORD_BEFORE.search(near).group().lower() if before else ""
         if not before:
             return self.cut(end)
         if _CASELESS.match(before[-1]):
