@@ -60,8 +60,9 @@ TRAIL = regex.compile(rf"(?V1)(?:[ \t 　]*(?:{EMOJI}|(?<![\w:]){EMOTICON}))+")
 TOKEN = regex.compile(
     rf"""(?V1)(?P<face>(?<!\w){EMOTICON})|(?P<mark>[{MARKS}]+(?:[ ](?=[!?]))?[!?]*)|(?P<straight>")|(?P<open>[«„“「『《〈【（(\[{{‹])|(?P<close>[»”」』》〉】）)\]}}›])|(?P<gap>(?<=[฀-๿])[\s ]+|​(?=[฀-๿]))|(?P<thai>[฀-๿]{{4,}})"""
 )
-SPACE = " \t\r\n\f\v   -     　﻿"
-_TRIM = regex.compile(rf"[{SPACE}\x1c-\x1f\x85]+")
+#: White space of any kind, no-break space and byte-order mark included.
+SPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+_TRIM = regex.compile(rf"[{SPACE}]+")
 _BLANK = regex.compile(rf"[^\S\n]*[﻿]*")
 _BULLET = regex.compile(r"[^\S\n\r]*(?:[-*•‣◦▪–—·+]\s+\S|・|[①-⑳]|[(（]?\d{1,3}[、．）]\s*\S|(\d{1,3})[.)]\s+\S)")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]*$")
@@ -150,7 +151,7 @@ class Block:
                     continue
                 opened = stack[found][1]
                 del stack[found:]
-                inner = last_mark >= opened and not text[last_mark:at].strip(SPACE + " ")
+                inner = last_mark >= opened and not text[last_mark:at].strip(SPACE)
                 if inner:
                     last_mark = end
                     if not stack:
@@ -162,7 +163,7 @@ class Block:
         ends, out, s = [*self.cuts, len(text)], [], self.first(0)
         for e in ends:
             part = text[s:e]
-            stop = s + len(part.rstrip(" \t\r\n\f\v    　﻿  \x1c\x1d\x1e\x1f\x85"))
+            stop = s + len(part.rstrip(SPACE))
             if stop > s:
                 out.append((s, stop))
             s = self.first(e)
@@ -333,11 +334,11 @@ def _ends_sentence(line: str) -> bool:
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence in code points. None for null, empty and blank texts."""
-    if not text or not text.strip(SPACE + "\x1c\x1d\x1e\x1f\x85"):
+    if not text or not text.strip(SPACE):
         return []
     if not regex.search(r"[\p{L}\p{N}]", text):
         lo = _TRIM.match(text)
-        hi = len(text.rstrip(" \t\r\n\f\v    　﻿  \x1c\x1d\x1e\x1f\x85"))
+        hi = len(text.rstrip(SPACE))
         return [(lo.end() if lo else 0, hi)]
     out: list[tuple[int, int]] = []
     block: tuple[int, int] | None = None
@@ -364,7 +365,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             s, e = lo, hi
             m = _TRIM.match(text, s, e)
             s = m.end() if m else s
-            e = s + len(text[s:e].rstrip(" \t 　﻿"))
+            e = s + len(text[s:e].rstrip(SPACE))
             out.append((s, e))
             listed, blank = True, False
             continue
