@@ -57,7 +57,8 @@ def bar(value: Column, most: Column, width: int) -> Column:
 def weight_bar(value: Column, most: Column, width: int) -> Column:
     """Blocks in proportion, at most ``width``, none where undefined (0 of 0, infinite of infinite)."""
     share = F.when((most == 0) | (F.abs(most) == float("inf")), F.when(value < most, 0.0)).otherwise(value.cast("double") / most)
-    return F.repeat(F.lit(BLOCK), F.coalesce(F.least(F.floor(share * width), F.lit(width)), F.lit(0)).cast("int"))
+    # least() passes over nulls, so an undefined share is asked for first.
+    return F.repeat(F.lit(BLOCK), F.when(share.isNull(), 0).otherwise(F.least(F.floor(share * width), F.lit(width))).cast("int"))
 
 
 def weight_colour(value: Column, most: Column) -> Column:
