@@ -4,6 +4,7 @@
 2. A spelling's vector has the letter n-grams of its name tokens, weighted by inverse frequency over all spellings.
 3. A distributed sparse join finds all pairs of one organisation with cosine at least ``COSINE``: each vector sends
    only the rarest n-grams that hold all but ``COSINE`` of its length (two vectors that reach it must share one of them).
+   Pairs are left out only if what these n-grams leave open cannot lift them to ``COSINE``; no such pair is lost.
    There is no top-n cut: it would lose links.
 4. Pairs are scored by aligning the tokens: one as surname, one as given name (nickname, initial, typo), any order. The
    companies must be the same entry of the canonical list, or resemble each other if neither is listed.
@@ -30,6 +31,8 @@ from arbora.runtime import cut, small
 
 #: Cosine of the candidate join, score of a link, average score within a cluster.
 COSINE, LINK, LINKAGE = 0.15, 0.4, 0.6
+#: Allowance for rounding where sums of shared n-grams are held against ``COSINE``.
+SLACK = 1e-5
 #: Spellings of one component that are clustered at once.
 COMPONENT_LIMIT = 1000
 
@@ -230,8 +233,9 @@ def _score(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), pa.array(np.array(out)[keep], pa.float64())], names=["a", "b", "score"])
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b, score) of the spellings ``classes`` (s, org, name, company) that may be one person, a < b."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the spellings ``classes`` (s, org, name, company): every pair of one org with cosine at least
+    ``COSINE``, and those below it that the n-grams sent cannot rule out."""
     feats = cut(classes.select("s", "name").mapInArrow(_vectors, "s long, g string"))
     total = classes.count()
     weights = small(feats.groupBy("g").agg(F.log(F.lit(total + 1.0) / F.count("*")).alias("w"), F.count("*").alias("df")))
@@ -240,15 +244,22 @@ def links(classes: DataFrame) -> DataFrame:
     whole = Window.partitionBy("s")
     square = F.col("w") * F.col("w")
     sent = weighted.withColumns({"norm": F.sum(square).over(whole), "passed": F.coalesce(F.sum(square).over(order), F.lit(0.0))})
-    # The part of the length that is not sent, at most COSINE of it, bounds what the unsent n-grams can add.
-    prefix = sent.where(F.col("norm") - F.col("passed") > COSINE * COSINE * F.col("norm") - 1e-9)
-    rest = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum(square).over(whole) / F.col("norm")))
-    prefix = prefix.select("s", "g", (F.col("w") / F.sqrt("norm")).cast("float").alias("x"), rest.cast("float").alias("rest"))
+    # Of two prefixes one ends first, and all its n-grams that the other sends too are met. What is missing is its unsent
+    # rest with what the other holds behind the last n-gram that both send.
+    after = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("passed") + square) / F.col("norm")))
+    prefix = sent.where(F.col("norm") - F.col("passed") > COSINE * COSINE * F.col("norm") - 1e-9).withColumn("after", after)
+    prefix = prefix.select("s", "g", *[c.cast("float").alias(n) for n, c in {"x": F.col("w") / F.sqrt("norm"), "after": F.col("after"), "rest": F.min("after").over(whole)}.items()])
     keyed = prefix.join(classes.select("s", "org"), "s")
-    left = keyed.select(F.col("s").alias("a"), "g", "org", F.col("x").alias("xa"), F.col("rest").alias("ra"))
-    right = keyed.select(F.col("s").alias("b"), "g", "org", F.col("x").alias("xb"), F.col("rest").alias("rb"))
-    shared = left.join(right, ["org", "g"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), F.max(F.col("ra") * F.col("rb")).alias("more"))
-    met = shared.where(F.col("dot") + F.col("more") >= COSINE).select("a", "b")
+    left = keyed.select(F.col("s").alias("a"), "g", "org", F.col("x").alias("xa"), F.col("after").alias("fa"), F.col("rest").alias("ra"))
+    right = keyed.select(F.col("s").alias("b"), "g", "org", F.col("x").alias("xb"), F.col("after").alias("fb"), F.col("rest").alias("rb"))
+    more = F.min(F.greatest(F.col("ra") * F.col("fb"), F.col("rb") * F.col("fa"))).alias("more")
+    shared = left.join(right, ["org", "g"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), more)
+    return shared.where(F.col("dot") + F.col("more") >= COSINE - SLACK).select("a", "b")
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """(a, b, score) of the spellings ``classes`` (s, org, name, company) that may be one person, a < b."""
+    met = candidates(classes)
     one = classes.select(F.col("s").alias("a"), F.col("name").alias("na"), F.col("company").alias("ca"))
     two = classes.select(F.col("s").alias("b"), F.col("name").alias("nb"), F.col("company").alias("cb"))
     return met.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_score, "a long, b long, score double")

@@ -166,6 +166,26 @@ def test_no_names(spark):
     assert names.account_pairs(members).count() == 0
 
 
+def test_candidates_hold_all_pairs_above_the_cosine(spark):
+    import math
+
+    rnd = random.Random(5)
+    part = lambda: "".join(rnd.choice("aeiou" if k % 2 else "bdklmnrst") for k in range(rnd.randrange(3, 8)))
+    firsts, lasts = [part() for _ in range(40)], [part() for _ in range(40)]
+    people = sorted({f"{rnd.choice(firsts)} {rnd.choice(lasts)}" for _ in range(300)})
+    rows = [(i, i % 2, name, "") for i, name in enumerate(people)]
+    vectors = [set(names.grams(name.split(" "))) for name in people]
+    df = {}
+    for v in vectors:
+        for g in v:
+            df[g] = df.get(g, 0) + 1
+    w = {g: math.log((len(people) + 1) / n) for g, n in df.items()}
+    norm = [math.sqrt(sum(w[g] ** 2 for g in v)) for v in vectors]
+    cosine = {(a, b): sum(w[g] ** 2 for g in vectors[a] & vectors[b]) / norm[a] / norm[b] for a in range(len(people)) for b in range(a + 1, len(people)) if a % 2 == b % 2}
+    found = [tuple(r) for r in names.candidates(spark.createDataFrame(rows, "s long, org long, name string, company string")).collect()]
+    assert {p for p, c in cosine.items() if c >= names.COSINE} <= set(found) and len(found) == len(set(found)) < len(cosine)
+
+
 def test_average_linkage_needs_the_average():
     import pandas as pd
 
