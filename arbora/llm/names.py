@@ -8,14 +8,16 @@
    There is no top-n cut: it would lose links.
 4. Pairs are scored by aligning the tokens: one as surname, one as given name (nickname, initial, typo), any order. The
    companies must be the same entry of the canonical list, or resemble each other if neither is listed.
-5. The scored graph falls into components of spellings, and each is clustered by average linkage.
+5. The links of at least ``LINKAGE`` form components of spellings, and each is clustered by average linkage with all links
+   within it; links between two of them can merge nothing.
 
 Only step 5 gathers a group: the spellings, not the accounts, of one component. Components above ``component_limit`` are
-split first by dropping their weakest links, level by level.
+merged in distributed rounds, with the same result, until they fall into smaller ones.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from functools import lru_cache
@@ -33,7 +35,10 @@ from arbora.runtime import cut, small
 COSINE, LINK, LINKAGE = 0.15, 0.4, 0.6
 #: Allowance for rounding where sums of shared n-grams are held against ``COSINE``.
 SLACK = 1e-5
-#: Spellings of one component that are clustered at once.
+#: Scores are added up as integers of this unit, so that no order of adding changes an average; LINKAGE in it.
+UNITS = 1_000_000
+LEAST = round(LINKAGE * UNITS)
+#: Clusters of one component that are merged in one task.
 COMPONENT_LIMIT = 1000
 
 # Titles and degrees beside a name.
@@ -282,45 +287,91 @@ def components(edges: DataFrame) -> DataFrame:
 
 def average_linkage(pdf: pd.DataFrame) -> pd.DataFrame:
     """Clusters of one component's links (a, b, score): merge the closest pair of clusters while the average score over all
-    their pairs, 0 for those without a link, is at least ``LINKAGE``. Ties go to the smaller ids."""
+    their pairs, 0 for those without a link, is at least ``LINKAGE``. Ties go to the smaller ids.
+
+    With columns na and nb, a and b are clusters of so many spellings and score the sum over their pairs.
+    """
     nodes = sorted(set(pdf.a) | set(pdf.b))
     at = {s: i for i, s in enumerate(nodes)}
     groups = {i: [i] for i in range(len(nodes))}
-    between: dict[int, dict[int, float]] = {i: {} for i in groups}
+    sizes = dict.fromkeys(groups, 1)
+    between: dict[int, dict[int, int]] = {i: {} for i in groups}
     for a, b, score in zip(pdf.a, pdf.b, pdf.score):
-        between[at[a]][at[b]] = between[at[b]][at[a]] = float(score)
-    while True:
-        best = max(((total / (len(groups[i]) * len(groups[j])), -i, -j) for i, row in between.items() for j, total in row.items() if i < j), default=(0, 0, 0))
-        if best[0] < LINKAGE:
-            break
-        i, j = -best[1], -best[2]
+        between[at[a]][at[b]] = between[at[b]][at[a]] = round(score * UNITS) if "na" not in pdf else int(score)
+    if "na" in pdf:
+        sizes |= {at[s]: n for s, n in zip(pdf.a, pdf.na)} | {at[s]: n for s, n in zip(pdf.b, pdf.nb)}
+    # Entries of the heap are outdated once their total has changed.
+    heap = [(-total / (sizes[i] * sizes[j]), i, j, total) for i, row in between.items() for j, total in row.items() if i < j and total >= LEAST * sizes[i] * sizes[j]]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, total = heapq.heappop(heap)
+        if i not in groups or between[i].get(j) != total or total < LEAST * sizes[i] * sizes[j]:
+            continue
         groups[i] += groups.pop(j)
-        for k, total in between.pop(j).items():
+        sizes[i] += sizes.pop(j)
+        for k, more in between.pop(j).items():
             del between[k][j]
             if k != i:
-                between[i][k] = between[k][i] = between[i].get(k, 0.0) + total
+                between[i][k] = between[k][i] = between[i].get(k, 0) + more
+        for k, more in between[i].items():
+            if more >= LEAST * sizes[i] * sizes[k]:
+                heapq.heappush(heap, (-more / (sizes[i] * sizes[k]), min(i, k), max(i, k), more))
     return pd.DataFrame([(nodes[m], nodes[min(g)]) for g in groups.values() for m in g], columns=["s", "cluster"]).astype("int64")
 
 
+def _merge_round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, merged): the clusters' links (a, b, na, nb, score) after all pairs that are the closest to each other have
+    merged, and what became of every cluster (s, cluster, size).
+
+    An average over two merged clusters is never above both averages before, so such a pair would also merge, unchanged,
+    if the closest pair of all were merged first: the clusters are those of ``average_linkage``.
+    """
+    close = pairs.where(F.col("score") >= LEAST * F.col("na") * F.col("nb"))
+    rank = F.struct((-F.col("score") / (F.col("na") * F.col("nb"))).alias("far"), "a", "b")
+    both = close.select(F.col("a").alias("s"), rank.alias("r")).unionByName(close.select(F.col("b").alias("s"), rank.alias("r")))
+    best = both.groupBy("s").agg(F.min("r").alias("r"))
+    mutual = best.groupBy(F.col("r.a").alias("keep"), F.col("r.b").alias("gone")).agg(F.count("*").alias("n")).where("n = 2").select("keep", "gone")
+    sizes = pairs.select(F.col("a").alias("s"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("s"), F.col("nb").alias("n"))).distinct()
+    named = sizes.join(mutual, F.col("s") == F.col("gone"), "left").select("s", "n", F.coalesce("keep", "s").alias("cluster"))
+    grown = named.groupBy("cluster").agg(F.sum("n").alias("size"))
+    merged = cut(named.join(grown, "cluster").select("s", "cluster", "size"))
+    left, right = merged.select(F.col("s").alias("a"), F.col("cluster").alias("ca"), F.col("size").alias("na")), merged.select(F.col("s").alias("b"), F.col("cluster").alias("cb"), F.col("size").alias("nb"))
+    renamed = pairs.select("a", "b", "score").join(left, "a").join(right, "b").where("ca <> cb")
+    turned = F.col("ca") > F.col("cb")
+    ends = {"a": F.least("ca", "cb"), "b": F.greatest("ca", "cb"), "na": F.when(turned, F.col("nb")).otherwise(F.col("na")), "nb": F.when(turned, F.col("na")).otherwise(F.col("nb"))}
+    return cut(renamed.select(*[c.alias(n) for n, c in ends.items()], "score").groupBy(*ends).agg(F.sum("score").alias("score"))), merged
+
+
 def clusters(found: DataFrame, component_limit: int = COMPONENT_LIMIT) -> DataFrame:
-    """(s, cluster) of all spellings with links, by average linkage within components."""
-    level, rest, ready = LINK, cut(found), []
+    """(s, cluster) of all spellings with links, by average linkage; ``component_limit`` does not change the result.
+
+    Two clusters merge only if some link between them reaches ``LINKAGE``, so the components of such links are apart, each
+    with all its links. Components above the limit merge in rounds over the whole table until they fall into smaller ones.
+    """
+    pairs = cut(found.select("a", "b", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"), F.round(F.col("score") * UNITS).cast("long").alias("score")))
+    placed = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().select("s", F.col("s").alias("cluster"))
+    ready = []
     while True:
-        labelled = components(rest).withColumnRenamed("s", "ls")
-        tagged = cut(rest.join(labelled, rest.a == labelled.ls).drop("ls"))
-        sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
-        big = sizes.where(F.col("n") > component_limit).select("component")
-        if level > 0.98 or big.isEmpty():
+        labelled = components(pairs.where(F.col("score") >= LEAST * F.col("na") * F.col("nb")))
+        one, two = labelled.select(F.col("s").alias("a"), "component"), labelled.select(F.col("s").alias("b"), F.col("component").alias("other"))
+        tagged = cut(pairs.join(one, "a").join(two, "b").where("component = other").drop("other"))
+        big = labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > component_limit).select("component")
+        if big.isEmpty():
             ready.append(tagged)
             break
         ready.append(tagged.join(big, "component", "left_anti"))
-        level += 0.04
-        rest = cut(tagged.join(big, "component", "left_semi").where(F.col("score") >= level).drop("component"))
-    out = None
+        pairs, merged = _merge_round(tagged.join(big, "component", "left_semi").drop("component"))
+        placed = _follow(placed, merged)
     for part in ready:
-        got = part.groupBy("component").applyInPandas(lambda pdf: average_linkage(pdf[["a", "b", "score"]]), "s long, cluster long")
-        out = got if out is None else out.unionByName(got)
-    return out
+        got = part.groupBy("component").applyInPandas(lambda pdf: average_linkage(pdf[["a", "b", "na", "nb", "score"]]), "s long, cluster long")
+        placed = _follow(placed, got)
+    return placed
+
+
+def _follow(placed: DataFrame, merged: DataFrame) -> DataFrame:
+    """``placed`` (s, cluster) after its clusters have become those of ``merged`` (s, cluster)."""
+    to = merged.select(F.col("s").alias("was"), F.col("cluster").alias("now"))
+    return cut(placed.join(to, F.col("cluster") == F.col("was"), "left").select("s", F.coalesce("now", "cluster").alias("cluster")))
 
 
 def same_person(profiles: DataFrame, canonical: DataFrame, broadcast_limit: int = BROADCAST_LIMIT, component_limit: int = COMPONENT_LIMIT) -> tuple[DataFrame, DataFrame]:

@@ -199,6 +199,18 @@ def test_large_components_are_split_by_their_weakest_links(spark):
     got = {r.s: r.cluster for r in names.clusters(links, component_limit=4).collect()}
     assert all(got[i] == got[i + 1] for i in range(1, 20, 2))
 
+def test_clusters_do_not_depend_on_the_component_limit(spark):
+    import pandas as pd
+
+    rnd = random.Random(3)
+    rows = [(1000, 1001, 0.95), (1000, 1002, 0.9), (1001, 1002, 0.45), (1002, 1003, 0.41)]
+    rows += [(a, b, rnd.choice([0.4, 0.45, 0.57, 0.6, 0.65, 0.8, 0.8, 0.9, 0.95])) for a in range(10) for b in range(a + 1, 10) if a // 5 == b // 5 or rnd.random() < 0.1]
+    want = {r.s: r.cluster for r in names.average_linkage(pd.DataFrame(rows, columns=["a", "b", "score"])).itertuples()}
+    links = spark.createDataFrame(rows, "a long, b long, score double")
+    assert want[1000] == want[1001] == want[1002] != want[1003]
+    for limit in (1000, 3):
+        assert {r.s: r.cluster for r in names.clusters(links, component_limit=limit).collect()} == want
+
 
 # Sentences
 
