@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.runtime import cut
 from arbora.sources.model import EDGE_KEY, HUB_THRESHOLD, SCOPE_KEY, active, is_hub
 
 CRAWLER = "follow_crawler"
@@ -26,6 +27,20 @@ def claim_order(state: DataFrame, crawler: str = CRAWLER) -> DataFrame:
     return ready.orderBy(*keys)
 
 
+def claim_places(state: DataFrame, crawler: str = CRAWLER) -> DataFrame:
+    """(scope_key, place) of all scopes that can be claimed, numbered in ``claim_order`` without sorting them in one task."""
+    ready = state.where((F.col("crawler_name") == crawler) & F.col("status").isin("pending", "retry"))
+    keys = ["waits", "rank", "error_count", "seq", "scope_key"]
+    ranked = ready.select(F.when(F.col("status") == "pending", 0).otherwise(1).alias("waits"), priority_rank(F.col("priority")).alias("rank"), "error_count", "seq", "scope_key")
+    # Cut, so that both readings see the same ranges.
+    placed = cut(ranked.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    inside = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
+    counts = placed.groupBy("part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("part").alias("op"), before.alias("offset"))
+    return inside.join(F.broadcast(offsets), F.col("part") == F.col("op")).select("scope_key", (F.col("offset") + F.col("n")).alias("place"))
+
+
 def claim(state: DataFrame, count: int = 1, crawler: str = CRAWLER) -> tuple[DataFrame, DataFrame]:
     """(state with the first ``count`` scopes in progress, claimed keys). If anything is pending no retry is claimed."""
     pending = F.col("status") == "pending"

@@ -343,6 +343,11 @@ def queue_claim_order(s, d):
     return first.select("scope_key", F.row_number().over(order).alias("place"))
 
 
+@query(f"SELECT scope_key, row_number() OVER (ORDER BY CASE status WHEN 'pending' THEN 0 ELSE 1 END, {_RANK} NULLS FIRST, error_count, seq) AS place FROM state WHERE status IN ('pending', 'retry')")
+def queue_claim_order_all(s, d):
+    return queue.claim_places(X.crawl_state(s, d))
+
+
 @query(f"SELECT scope_key, CASE WHEN scope_key IN (SELECT scope_key FROM state WHERE status = 'pending' ORDER BY {_RANK} NULLS FIRST, error_count, seq LIMIT 3) THEN 'in_progress' ELSE status END AS status FROM state")
 def queue_claim(s, d):
     return queue.claim(X.crawl_state(s, d), 3)[0].select("scope_key", "status")
@@ -389,6 +394,12 @@ def pending_insert(s, d):
     return queue.enqueue(state, batch.unionByName(batch))[0].select("scope_key", "status")
 
 
+@query("SELECT login AS scope_key, 'pending' AS status FROM usr WHERE login NOT IN (SELECT scope_key FROM state) UNION ALL SELECT scope_key, status FROM state")
+def pending_insert_all(s, d):
+    batch = X.users(s, d).select(F.lit(queue.CRAWLER).alias("crawler_name"), F.col("login").alias("scope_key"), F.lit(1).alias("degree"), F.lit("normal").alias("priority"), F.col("id").alias("seq"))
+    return queue.enqueue(X.crawl_state(s, d), batch)[0].select("scope_key", "status")
+
+
 _UPSERT = """, m AS (SELECT coalesce(e.from_user_id, b.from_user_id) AS from_user_id, coalesce(e.to_user_id, b.to_user_id) AS to_user_id, coalesce(e.edge_type, b.edge_type) AS edge_type,
  CASE WHEN e.from_user_id IS NULL THEN b.degree ELSE e.degree END AS degree, CASE WHEN b.from_user_id IS NOT NULL THEN 1 ELSE e.is_active END AS is_active,
  CASE WHEN e.from_user_id IS NULL THEN 'new' WHEN b.from_user_id IS NOT NULL AND e.is_active = 0 THEN 'reactivated' WHEN b.from_user_id IS NOT NULL THEN 'bumped' END AS outcome

@@ -158,6 +158,14 @@ def test_claim_order(spark):
     assert [r.scope_key for r in queue.claim(state.where("status = 'retry'"), 5)[1].collect()] == ["s3"]
 
 
+def test_all_claimable_scopes_have_a_place(spark):
+    rows = [("follow_crawler", f"s{i}", ("pending", "retry", "done")[i % 3], ("high", "low", "x")[i % 7 % 3], 0, i % 4, None, None, i) for i in range(400)]
+    state = spark.createDataFrame(rows, STATE)
+    want = [r.scope_key for r in queue.claim_order(state).collect()]
+    got = {r.place: r.scope_key for r in queue.claim_places(state).collect()}
+    assert len(want) > 100 and [got[n + 1] for n in range(len(got))] == want
+
+
 def test_claiming_leaves_retries_while_anything_is_pending(spark):
     state = spark.createDataFrame([("follow_crawler", "a", "pending", "low", 0, 0, None, None, 1), ("follow_crawler", "b", "retry", "high", 0, 0, None, None, 2)], STATE)
     assert [r.scope_key for r in queue.claim(state, 5)[1].collect()] == ["a"]
