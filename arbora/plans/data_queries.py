@@ -28,7 +28,9 @@ def p1_descendants(spark, d):
 
 
 def p1_subtree_sizes(spark, d):
-    return hierarchy.subtree_sizes(hierarchy.hierarchy(table(spark, d, "queue_items"), with_paths=True))
+    """Nodes of the subtree of every tree login, itself included."""
+    nodes = hierarchy.hierarchy(table(spark, d, "queue_items"), with_sizes=True)
+    return nodes.where("not in_loop").select("node", "subtree_size")
 
 
 def p4_found(spark, d):

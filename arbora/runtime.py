@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +38,61 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where none is configured (tests), a folder of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables of this application are written: a folder of its own under ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local session; on a cluster, whose machines do not share one, that
+    is an error. The folder goes when the application ends.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="arbora-checkpoint-"))
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        set_by_hand = sc._jsc.sc().getCheckpointDir()
+        base = set_by_hand.get() if set_by_hand.isDefined() else None
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="arbora-")
+        sc.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/arbora-{sc.applicationId}"
+    path, files = _hadoop_path(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def _hadoop_path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the copy: lineage ends there and lost executors do not matter."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the copy.
+
+    Lineage ends there, so lost executors do not matter, and the planner sees the size of the files: a frame cut again
+    and again in a loop never carries over the product of earlier estimates, as ``checkpoint`` lets it.
+    """
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return _stored(spark, df.schema, [folder])
+
+
+def _stored(spark: SparkSession, schema, folders: list[str]) -> DataFrame:
+    copy = spark.read.schema(schema).parquet(*folders)
+    copy._folders = folders
+    return copy
+
+
+def stacked(frames: list[DataFrame]) -> DataFrame:
+    """The rows of several frames of one schema that ``cut`` gave, as one scan, however many they are."""
+    return _stored(frames[0].sparkSession, frames[0].schema, [folder for f in frames for folder in f._folders])
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``cut`` gave; nothing may read them any more."""
+    for frame in frames:
+        for folder in frame._folders:
+            path, files = _hadoop_path(frame.sparkSession, folder)
+            files.delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.operators import queue
-from arbora.runtime import ensure_checkpoints
+from arbora.runtime import shared_folder
 from arbora.sources.model import EDGE_KEY
 
 #: Events of each type that a monitor keeps.
@@ -66,7 +66,7 @@ def latest_status(snapshots: DataFrame) -> DataFrame:
 
 def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a streaming frame over what is there into a memory table and return that."""
-    ensure_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
