@@ -11,15 +11,19 @@ BLOCK = "█"
 def fixed(x: Column, places: int) -> Column:
     """A number of 0 or more with one or two decimals, rounded from its exact binary value, ties to even.
 
-    ``format_string`` rounds the shortest decimal form instead, which differs where that form ends in 5.
+    ``format_string`` rounds the shortest decimal form instead, which differs where that form ends in 5. The product with
+    a power of ten is taken with its rounding error: halves of the mantissa times a small number are exact.
     """
-    unit, scale = 1 << 52, 10**places
-    whole = F.floor(x)
-    part = F.floor((x - whole) * float(unit)).cast("long") * scale
-    down = F.shiftright(part, 52)
-    rest = part - F.shiftleft(down, 52)
-    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
-    digits = whole * scale + down + F.when(up, 1).otherwise(0)
+    scale = 10**places
+    x = x.cast("double")
+    near = x * float(scale)
+    wide = x * 134217729.0
+    upper = wide - (wide - x)
+    error = (upper * float(scale) - near) + (x - upper) * float(scale)
+    down = F.floor(near)
+    beyond = (near - down) - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (down % 2 == 1))))
+    digits = down + F.when(up, 1).otherwise(0)
     return F.concat(F.floor(digits / scale).cast("string"), F.lit("."), F.lpad((digits % scale).cast("string"), places, "0"))
 
 
@@ -37,10 +41,19 @@ def visible_width(s: Column) -> Column:
 
 
 def truncate(s: Column, width: int) -> Column:
-    """At most ``width`` characters, the last an ellipsis where something was left out."""
+    """At most ``width`` display columns, the last an ellipsis where something was left out."""
     if width <= 0:
         return F.when(s.isNotNull(), "")
-    return F.when(F.length(s) <= width, s).otherwise(F.concat(F.substring(s, 1, width - 1), F.lit("…")))
+    letters = F.filter(F.split(s, ""), lambda c: c != "")
+    # The letters that fit beside an ellipsis: (columns so far, text so far), closed at the first that does not.
+    start = F.struct(F.lit(0).alias("w"), F.lit("").alias("t"), F.lit(False).alias("full"))
+
+    def add(acc: Column, c: Column) -> Column:
+        w = acc["w"] + visible_width(c)
+        full = acc["full"] | (w > width - 1)
+        return F.struct(F.when(full, acc["w"]).otherwise(w).alias("w"), F.when(full, acc["t"]).otherwise(F.concat(acc["t"], c)).alias("t"), full.alias("full"))
+
+    return F.when(visible_width(s) <= width, s).otherwise(F.concat(F.aggregate(letters, start, add)["t"], F.lit("…")))
 
 
 def uptime(seconds: Column) -> Column:
@@ -83,12 +96,12 @@ def quota_bucket(remaining: Column) -> Column:
 
 
 def pad_right(s: Column, width: int) -> Column:
-    """Padded with blanks to ``width``; longer text is kept whole."""
-    return F.concat(s, F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(s), F.lit(0))))
+    """Padded with blanks to ``width`` display columns; longer text is kept whole."""
+    return F.concat(s, F.repeat(F.lit(" "), F.greatest(F.lit(width) - visible_width(s), F.lit(0))))
 
 
 def pad_left(s: Column, width: int) -> Column:
-    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(s), F.lit(0))), s)
+    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - visible_width(s), F.lit(0))), s)
 
 
 def date_prefix(s: Column) -> Column:

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.runtime import cut
+from arbora.runtime import cut, release
 
 #: Rounds after which a loop is given up as endless.
 MAX_ROUNDS = 10_000
+#: Links that one task joins to components, 16 bytes each.
+RESIDUE = 200_000
 
 
 def adjacency(follows: DataFrame) -> DataFrame:
@@ -45,6 +48,9 @@ def distances(follows: DataFrame, source: int, most: int = MAX_ROUNDS) -> DataFr
         if front.isEmpty():
             break
         done.append(front)
+    else:
+        if most == MAX_ROUNDS:
+            raise RuntimeError("distances did not end")
     return reduce(DataFrame.unionByName, done)
 
 
@@ -73,6 +79,8 @@ def shortest_paths(follows: DataFrame, source: int, targets: list[int]) -> DataF
             left -= set(hit)
         if not hit and front.isEmpty():
             break
+    else:
+        raise RuntimeError("paths did not end")
     return reduce(DataFrame.unionByName, found).select(F.col("id").alias("target"), "path")
 
 
@@ -120,24 +128,64 @@ def directed_edges(paths: DataFrame, follows: DataFrame) -> DataFrame:
     return both.select("path_no", F.col("hop").cast("int").alias("hop"), F.when(F.col("forth"), F.col("a")).otherwise(F.col("b")).alias("from_user_id"), F.when(F.col("forth"), F.col("b")).otherwise(F.col("a")).alias("to_user_id"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, residue: int = RESIDUE) -> DataFrame:
     """(id, component): the smallest id of each node's weak component; isolated nodes are their own.
 
-    Smallest label of the neighbours, then label of the label (pointer jumping), until nothing changes. The label of a
-    hub's neighbours is a partially aggregated minimum, and labels that point to a root are not joined again.
+    Each round every node follows, twice, the neighbour of the smallest hash, and the links are drawn between the nodes
+    so reached. Finished components have no links left and a constant share of the nodes goes with each round, so all
+    rounds together read a few times the links. At most ``residue`` links (counted) are finished in one task. The
+    neighbours of a hub are one partially aggregated row.
     """
-    both = cut(links.select(F.col("from_user_id").alias("x"), F.col("to_user_id").alias("y")).where("x <> y").select(F.inline(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))).distinct())
-    near = both.groupBy(F.col("x").alias("i")).agg(F.min("y").alias("n"))
-    labels = cut(nodes.select("id").distinct().join(near, F.col("id") == F.col("i"), "left").select("id", F.least("id", "n").alias("c")))
-    for _ in range(MAX_ROUNDS):
-        low = both.join(labels, F.col("y") == F.col("id")).groupBy(F.col("x").alias("i")).agg(F.min("c").alias("n"))
-        step = labels.join(low, F.col("id") == F.col("i"), "left").select("id", F.col("c").alias("old"), F.least("c", "n").alias("m"))
-        root = step.where("id <> m").select(F.col("id").alias("r"), F.col("m").alias("rm"))
-        jumped = cut(step.join(root, F.col("m") == F.col("r"), "left").select("id", "old", F.coalesce("rm", "m").alias("c")))
-        labels = jumped.select("id", "c")
-        if jumped.where("old <> c").isEmpty():
+    a, b = F.least("from_user_id", "to_user_id"), F.greatest("from_user_id", "to_user_id")
+    left = cut(links.select(a.alias("a"), b.alias("b")).where("a <> b").distinct())
+    drawn: list[DataFrame] = []
+    for number in range(MAX_ROUNDS):
+        if left.count() <= residue:
             break
-    return labels.withColumnRenamed("c", "component")
+        ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
+        rank = lambda c: F.xxhash64(c, F.lit(number))  # noqa: E731, B023
+        near = ends.groupBy("x").agg(F.min_by("y", rank("y")).alias("y"))
+        to = cut(near.select("x", F.when(rank("y") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("r")))
+        step = cut(to.join(to.select(F.col("x").alias("m"), F.col("r").alias("rr")), F.col("r") == F.col("m")).select("x", F.col("rr").alias("r")))
+        drawn.append(step)
+        one, two = step.select(F.col("x").alias("a"), F.col("r").alias("ra")), step.select(F.col("x").alias("b"), F.col("r").alias("rb"))
+        moved = left.join(one, "a").join(two, "b").where("ra <> rb")
+        rest = cut(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        release(to, left)
+        left = rest
+    else:
+        raise RuntimeError("components did not settle")
+    roots = cut(left.repartition(1).mapInPandas(_join_here, "x long, r long"))
+    for step in reversed(drawn):
+        above = roots.select(F.col("x").alias("m"), F.col("r").alias("rr"))
+        roots = cut(step.join(above, F.col("r") == F.col("m"), "left").select("x", F.coalesce("rr", "r").alias("r")))
+    known = nodes.select("id").distinct().join(roots, F.col("id") == F.col("x"), "left").select("id", F.coalesce("r", "id").alias("r"))
+    known = cut(known)
+    least = known.groupBy(F.col("r").alias("k")).agg(F.min("id").alias("component"))
+    return known.join(least, F.col("r") == F.col("k")).select("id", "component")
+
+
+def _join_here(batches):
+    """(x, r): a common node for the ends of every chain of links (a, b), at most ``residue`` of them."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        way = []
+        while top[x] != x:
+            way.append(x)
+            x = top[x]
+        for w in way:
+            top[w] = x
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            top.setdefault(a, a)
+            top.setdefault(b, b)
+            ra, rb = root(a), root(b)
+            top[max(ra, rb)] = min(ra, rb)
+    names = list(top)
+    yield pd.DataFrame({"x": pd.array(names, "int64"), "r": pd.array([root(x) for x in names], "int64")})
 
 
 def component_summary(parts: DataFrame) -> DataFrame:

@@ -133,7 +133,8 @@ def upsert_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     Ids are dense: a range partitioning by seq numbers each partition and adds the counts of those before it.
     """
     fresh = logins.groupBy("login").agg(F.min("seq").alias("seq")).join(users.select("login"), "login", "left_anti")
-    placed = fresh.repartitionByRange("seq", "login").withColumn("part", F.spark_partition_id())
+    # Cut, so that both readings see the same ranges.
+    placed = cut(fresh.repartitionByRange("seq", "login").withColumn("part", F.spark_partition_id()))
     inside = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("seq", "login")))
     counts = placed.groupBy("part").agg(F.count("*").alias("c"))
     offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("part").alias("op"), "offset")

@@ -86,6 +86,14 @@ def test_components_and_isolated_users(spark):
     assert [tuple(r) for r in graph.component_summary(got).collect()] == [(2, 0.666667)]
 
 
+def test_components_of_paths_and_stars_do_not_depend_on_the_residue(spark):
+    pairs = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (202, 202)]
+    want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200, 202: 202, 203: 203}
+    for residue in (0, 20, 10**6):
+        got = graph.components(users(spark, want), follows(spark, pairs), residue)
+        assert {r.id: r.component for r in got.collect()} == want
+
+
 def brute_impact(ids, pairs):
     def count(nodes):
         left, n = set(nodes), 0

@@ -27,8 +27,15 @@ def test_sizes_and_numbers(spark):
     assert one(spark, S.fixed(F.lit(0.125), 2)) == "0.12" and one(spark, S.fixed(F.lit(4.85), 1)) == "4.8" and one(spark, S.fixed(F.lit(9.96), 1)) == "10.0"
 
 
+def test_rounding_follows_the_exact_value(spark):
+    rows = [(n / d * s,) for n in range(1, 400, 7) for d in (8.0, 1000.0, 10000.0, 3.0) for s in (1.0, 100.0)]
+    got = spark.createDataFrame(rows, "x double").select("x", S.fixed(F.col("x"), 1).alias("a"), S.fixed(F.col("x"), 2).alias("b")).collect()
+    assert all((r.a, r.b) == (f"{r.x:.1f}", f"{r.x:.2f}") for r in got)
+
+
 def test_texts(spark):
     assert one(spark, S.truncate(F.lit("abcdef"), 4)) == "abc…" and one(spark, S.truncate(F.lit("abc"), 0)) == ""
+    assert one(spark, S.truncate(F.lit("中文字符"), 5)) == "中文…" and one(spark, S.truncate(F.lit("中文字符"), 4)) == "中…" and one(spark, S.pad_left(F.lit("中"), 4)) == "  中"
     assert one(spark, S.visible_width(F.lit("\x1b[1mab\x1b[0m中"))) == 4
     assert one(spark, S.pad_right(F.lit("abc"), 2)) == "abc" and one(spark, S.pad_left(F.lit("a"), 3)) == "  a"
     assert one(spark, S.listed(F.array(*map(F.lit, "abcd")), 2)) == ["a", "b", "… 2 more"]
