@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.runtime import cut, release
+from arbora.runtime import cut, numbered, release
 
 #: Rounds after which a loop is given up as endless.
 MAX_ROUNDS = 10_000
@@ -31,7 +31,11 @@ def adjacency(follows: DataFrame) -> DataFrame:
 
 
 def first_neighbours(entries: DataFrame, most: int = 50) -> DataFrame:
-    """The first ``most`` entries of every list, with rank from 1. Lists are cut before the shuffle, so hubs stay light."""
+    """The first ``most`` entries of every list, with rank from 1. Lists are cut before the shuffle, so hubs stay light
+    (the planner does so up to 1,000; for more, or 0 for all, no list is sorted in one task either)."""
+    if not 0 < most <= 1000:
+        ranked = numbered(entries, ["src"], ["place"], "rank").withColumn("rank", F.col("rank").cast("int"))
+        return ranked.where(F.col("rank") <= most) if most else ranked
     order = Window.partitionBy("src").orderBy("place")
     return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.runtime import cut
+from arbora.runtime import numbered
 from arbora.sources.model import EDGE_KEY, HUB_THRESHOLD, SCOPE_KEY, active, is_hub
 
 CRAWLER = "follow_crawler"
@@ -30,15 +30,8 @@ def claim_order(state: DataFrame, crawler: str = CRAWLER) -> DataFrame:
 def claim_places(state: DataFrame, crawler: str = CRAWLER) -> DataFrame:
     """(scope_key, place) of all scopes that can be claimed, numbered in ``claim_order`` without sorting them in one task."""
     ready = state.where((F.col("crawler_name") == crawler) & F.col("status").isin("pending", "retry"))
-    keys = ["waits", "rank", "error_count", "seq", "scope_key"]
     ranked = ready.select(F.when(F.col("status") == "pending", 0).otherwise(1).alias("waits"), priority_rank(F.col("priority")).alias("rank"), "error_count", "seq", "scope_key")
-    # Cut, so that both readings see the same ranges.
-    placed = cut(ranked.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
-    inside = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    counts = placed.groupBy("part").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("part").alias("op"), before.alias("offset"))
-    return inside.join(F.broadcast(offsets), F.col("part") == F.col("op")).select("scope_key", (F.col("offset") + F.col("n")).alias("place"))
+    return numbered(ranked, [], ["waits", "rank", "error_count", "seq", "scope_key"], "place").select("scope_key", "place")
 
 
 def claim(state: DataFrame, count: int = 1, crawler: str = CRAWLER) -> tuple[DataFrame, DataFrame]:
@@ -130,16 +123,12 @@ def status_snapshot(state: DataFrame, most: int = 5) -> DataFrame:
 def upsert_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     """Users plus the unknown logins of ``logins`` (login, seq), numbered after the largest id in the order of seq.
 
-    Ids are dense: a range partitioning by seq numbers each partition and adds the counts of those before it.
+    Ids are dense and the new logins are never sorted in one task.
     """
     fresh = logins.groupBy("login").agg(F.min("seq").alias("seq")).join(users.select("login"), "login", "left_anti")
-    # Cut, so that both readings see the same ranges.
-    placed = cut(fresh.repartitionByRange("seq", "login").withColumn("part", F.spark_partition_id()))
-    inside = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("seq", "login")))
-    counts = placed.groupBy("part").agg(F.count("*").alias("c"))
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("part").alias("op"), "offset")
+    placed = numbered(fresh, [], ["seq", "login"], "place")
     top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = inside.join(offsets, F.col("part") == F.col("op")).join(F.broadcast(top)).select((F.col("top") + F.col("offset") + F.col("n")).alias("id"), "login")
+    rows = placed.join(F.broadcast(top)).select((F.col("top") + F.col("place")).alias("id"), "login")
     return users.select("id", "login").unionByName(rows)
 
 

@@ -194,14 +194,21 @@ def suggest_summary(edges: DataFrame, users: DataFrame, login: str) -> DataFrame
     return based.agg(F.count("*").alias("based_on")).join(suggest_all(edges, me).agg(F.count("*").alias("candidates")))
 
 
-def co_targets(edges: DataFrame, edge_type: str) -> DataFrame:
-    """(a, b, n): users with common targets of an edge type, a < b; the projection behind co-occurrence relations.
-
-    Every pair of one target is a result row, so this is for edge types whose targets have bounded in-degree.
-    """
+def co_targets(edges: DataFrame, edge_type: str, asked: DataFrame) -> DataFrame:
+    """(a, b, n): how many targets of an edge type the users of ``asked`` (column a) share with each other user; the
+    projection behind co-occurrence relations, searched for a stated set of users against all."""
     e = active(edges).where(F.col("edge_type") == edge_type).select("from_user_id", "to_user_id").distinct()
     left, right = e.select(F.col("from_user_id").alias("a"), "to_user_id"), e.select(F.col("from_user_id").alias("b"), "to_user_id")
-    return left.join(right, "to_user_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return left.join(asked, "a", "left_semi").join(right, "to_user_id").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def common_of_pairs(follows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, target): what both users of each of the given ``pairs`` (a, b) follow. The pairs meet the list of a, and what
+    comes of it the rows of b: nothing grows with the square of a hub's followers."""
+    distinct = pairs.where("a <> b").distinct()
+    listed = follows.select(F.col("from_user_id").alias("a"), F.col("to_user_id").alias("target")).distinct()
+    also = follows.select(F.col("from_user_id").alias("b"), F.col("to_user_id").alias("target")).distinct()
+    return distinct.join(listed, "a").join(also, ["b", "target"]).select("a", "b", "target")
 
 
 def export_users(users: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Named queries of the graph engine over the derived follow graph, and the SQL for each that SQL can express."""
+"""Named queries of the graph engine over the delivered follow graph, and the SQL for each that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,29 +9,29 @@ from arbora.functions import scalars as S
 from arbora.operators import graph, queue, routes, structure
 from arbora.operators import users as U
 from arbora.runtime import table
-from arbora.sources import crawl, fixture as X, model
+from arbora.sources import crawl, delivered as X, model
 from arbora.streaming import events as E
 
-ME = "Customer#000000005"
+#: Logins of ids 4 (follows most) and 1 (followed most).
+ME, STAR = "hub-1002b3", "hub-100000"
+#: Searches over all users take those whose id is divisible by this as queries, against all rows.
+EVERY = 50
 
-VIEWS = """
-raw AS (SELECT o.o_custkey AS f, l.l_partkey AS t, l.l_linenumber AS ln, l.l_shipdate AS sd, l.l_returnflag AS rf, l.l_linestatus AS ls, l.l_discount AS dc
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON l.l_partkey = c.c_custkey WHERE l.l_quantity >= 49),
-usr AS (SELECT c_custkey AS id, c_name AS login FROM customer),
-edg AS (SELECT f AS from_user_id, t AS to_user_id, CASE WHEN rf = 'A' AND ls = 'F' THEN 'starred' ELSE 'follows' END AS edge_type,
-  CAST(1.0 AS DOUBLE) AS weight, min(ln) AS degree, max(CASE WHEN rf = 'A' AND ls = 'O' THEN 0 ELSE 1 END) AS is_active, min(sd) AS first_seen_at, max(sd) AS last_seen_at
-  FROM (SELECT f, t, ln, sd, rf, ls FROM raw UNION ALL SELECT t, f, ln, sd, rf, ls FROM raw WHERE dc >= 0.08) x GROUP BY 1, 2, 3),
+VIEWS = r"""
+usr AS (SELECT id, min(login) AS login FROM users WHERE id IS NOT NULL AND login IS NOT NULL GROUP BY 1),
+edg AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY from_user_id, to_user_id, edge_type ORDER BY last_seen_at DESC NULLS LAST, weight DESC NULLS LAST, degree DESC NULLS LAST, metadata DESC NULLS LAST) AS rn FROM edges) x WHERE rn = 1),
 fol AS (SELECT from_user_id, to_user_id FROM edg WHERE edge_type = 'follows' AND is_active = 1),
-prof AS (SELECT c.c_custkey AS user_id, 'Name ' || c.c_name AS name, c.c_mktsegment AS company, n.n_name AS location,
-  CAST(floor(abs(c.c_acctbal)) AS BIGINT) AS followers, CAST(floor(abs(c.c_acctbal)) AS BIGINT) * 7 % 6000 AS following, CAST(c.c_nationkey AS BIGINT) AS public_repos
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey % 10 <> 0),
+prof AS (SELECT * EXCLUDE rn FROM (SELECT user_id, name, company, location, followers, following, public_repos, fetched_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY fetched_at DESC NULLS LAST, name DESC NULLS LAST, company DESC NULLS LAST, location DESC NULLS LAST, followers DESC NULLS LAST, following DESC NULLS LAST, public_repos DESC NULLS LAST) AS rn
+  FROM user_profiles WHERE user_id IS NOT NULL) x WHERE rn = 1),
 card AS (SELECT u.id, u.login, p.name, p.company, p.location, p.followers, p.following, p.public_repos FROM usr u LEFT JOIN prof p ON u.id = p.user_id),
-state AS (SELECT 'follow_crawler' AS crawler_name, u.login AS scope_key,
-  CASE WHEN u.id % 7 <= 2 THEN 'pending' WHEN u.id % 7 = 3 THEN 'in_progress' WHEN u.id % 7 = 4 THEN 'done' WHEN u.id % 7 = 5 THEN 'retry' ELSE 'error' END AS status,
-  CASE WHEN u.id % 11 = 0 THEN 'high' WHEN u.id % 11 <= 2 THEN 'low' ELSE 'normal' END AS priority,
-  coalesce(d.degree, 0) AS degree, u.id % 3 AS error_count, u.id AS seq
-  FROM usr u LEFT JOIN (SELECT to_user_id, min(degree) AS degree FROM edg WHERE is_active = 1 GROUP BY 1) d ON u.id = d.to_user_id),
-batch AS (SELECT t AS from_user_id, f AS to_user_id, 'follows' AS edge_type, min(ln) AS degree FROM raw WHERE dc >= 0.05 GROUP BY 1, 2),
+state AS (SELECT 'follow_crawler' AS crawler_name, coalesce(u.login, q.k) AS scope_key,
+  CASE WHEN seq % 7 <= 2 THEN 'pending' WHEN seq % 7 = 3 THEN 'in_progress' WHEN seq % 7 = 4 THEN 'done' WHEN seq % 7 = 5 THEN 'retry' ELSE 'error' END AS status,
+  priority, coalesce(degree, 0) AS degree, CAST(seq % 3 AS INTEGER) AS error_count, seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY queued_at NULLS LAST, seq NULLS LAST) AS rn
+    FROM (SELECT *, lower(regexp_replace(login, '^\s+|\s+$', '', 'g')) AS k FROM queue_items) x WHERE k <> '') q
+  LEFT JOIN (SELECT lower(login) AS l, min(login) AS login FROM usr GROUP BY 1) u ON u.l = q.k WHERE rn = 1),
+batch AS (SELECT from_user_id, to_user_id, edge_type, min(degree) AS degree, min(weight) AS weight FROM edge_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM edge_snapshots) GROUP BY 1, 2, 3),
 adj AS (SELECT from_user_id AS src, to_user_id AS dst, from_user_id AS pf, to_user_id AS pt, 0 AS side FROM fol
   UNION ALL SELECT to_user_id, from_user_id, from_user_id, to_user_id, 1 FROM fol),
 rk AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY pf, pt, side) AS rank FROM adj)
@@ -73,9 +73,9 @@ def user_lookup(s, d):
     return U.by_login(*_users(s, d), ME)
 
 
-@query("SELECT * FROM card WHERE id = 42")
+@query("SELECT * FROM card WHERE id = 4")
 def user_by_id(s, d):
-    return U.by_id(*_users(s, d), 42)
+    return U.by_id(*_users(s, d), 4)
 
 
 @query("SELECT id, login FROM usr WHERE id IN (SELECT user_id FROM prof)")
@@ -83,14 +83,14 @@ def users_having_profile(s, d):
     return U.having_profile(*_users(s, d))
 
 
-@query("SELECT * FROM card WHERE login ILIKE '%r#0000001_5%' ORDER BY CASE WHEN login ILIKE 'r#0000001_5%' THEN 0 ELSE 1 END, login LIMIT 20")
+@query("SELECT * FROM card WHERE login ILIKE '%b-100_%' ORDER BY CASE WHEN login ILIKE 'b-100_%' THEN 0 ELSE 1 END, login LIMIT 20")
 def search_users(s, d):
-    return U.search(*_users(s, d), "R#0000001_5")
+    return U.search(*_users(s, d), "B-100_")
 
 
-@query("SELECT from_user_id, to_user_id, edge_type, degree FROM edg WHERE is_active = 1 AND (from_user_id = 5 OR to_user_id = 5)")
+@query("SELECT from_user_id, to_user_id, edge_type, degree FROM edg WHERE is_active = 1 AND (from_user_id = 1 OR to_user_id = 1)")
 def edges_of_user(s, d):
-    return U.edges_of(X.edges(s, d), 5).select("from_user_id", "to_user_id", "edge_type", "degree")
+    return U.edges_of(X.edges(s, d), 1).select("from_user_id", "to_user_id", "edge_type", "degree")
 
 
 @query("SELECT * FROM fol")
@@ -98,27 +98,30 @@ def follows_pairs(s, d):
     return X.follows(s, d)
 
 
-@query("SELECT count(*) > 0 AS \"exists\" FROM fol WHERE from_user_id = 5 AND to_user_id = 105")
+@query("SELECT 1 AS source, 2 AS target, count(*) > 0 AS \"exists\" FROM fol WHERE from_user_id = 1 AND to_user_id = 2 UNION ALL SELECT m.f, m.t, true FROM (SELECT from_user_id AS f, to_user_id AS t FROM fol ORDER BY 1, 2 LIMIT 1) m")
 def has_follows_edge(s, d):
-    return U.has_follow(X.edges(s, d), 5, 105)
+    """Whether 1 follows 2, and whether the first pair of the table stands."""
+    e = X.edges(s, d)
+    first = model.follows(e).orderBy("from_user_id", "to_user_id").first()
+    pairs = [(1, 2), (first.from_user_id, first.to_user_id)]
+    one, two = (U.has_follow(e, a, b).select(F.lit(a).cast("long").alias("source"), F.lit(b).cast("long").alias("target"), "exists") for a, b in pairs)
+    return one.unionByName(two)
 
 
-@query("SELECT DISTINCT u.login FROM fol a JOIN fol b ON a.to_user_id = b.to_user_id AND a.from_user_id = 202 AND b.from_user_id = 483 JOIN usr u ON u.id = a.to_user_id ORDER BY 1 LIMIT 50")
+@query("SELECT DISTINCT u.login FROM fol a JOIN fol b ON a.to_user_id = b.to_user_id AND a.from_user_id = 4 AND b.from_user_id = 5 JOIN usr u ON u.id = a.to_user_id ORDER BY 1 LIMIT 50")
 def common_following(s, d):
-    return U.common(X.edges(s, d), X.users(s, d), 202, 483, "following")
+    return U.common(X.edges(s, d), X.users(s, d), 4, 5, "following")
 
 
-@query("SELECT DISTINCT u.login FROM fol a JOIN fol b ON a.from_user_id = b.from_user_id AND a.to_user_id = 5 AND b.to_user_id = 105 JOIN usr u ON u.id = a.from_user_id ORDER BY 1 LIMIT 50")
+@query("SELECT DISTINCT u.login FROM fol a JOIN fol b ON a.from_user_id = b.from_user_id AND a.to_user_id = 1 AND b.to_user_id = 2 JOIN usr u ON u.id = a.from_user_id ORDER BY 1 LIMIT 50")
 def common_followers(s, d):
-    return U.common(X.edges(s, d), X.users(s, d), 5, 105, "followers")
+    return U.common(X.edges(s, d), X.users(s, d), 1, 2, "followers")
 
 
-@query("SELECT a.from_user_id AS a, a.to_user_id AS b, x.to_user_id AS target FROM (SELECT DISTINCT p.from_user_id, q.from_user_id AS to_user_id FROM fol p JOIN fol q ON p.to_user_id = q.to_user_id AND p.from_user_id < q.from_user_id) a JOIN fol x ON x.from_user_id = a.from_user_id JOIN fol y ON y.from_user_id = a.to_user_id AND y.to_user_id = x.to_user_id")
+@query("SELECT p.from_user_id AS a, p.to_user_id AS b, x.to_user_id AS target FROM fol p JOIN fol x ON x.from_user_id = p.from_user_id JOIN fol y ON y.from_user_id = p.to_user_id AND y.to_user_id = x.to_user_id WHERE p.from_user_id <> p.to_user_id")
 def common_following_all(s, d):
-    """Common followings of all pairs that have any."""
-    f = X.follows(s, d)
-    left, right = f.select(F.col("from_user_id").alias("a"), F.col("to_user_id").alias("target")), f.select(F.col("from_user_id").alias("b"), F.col("to_user_id").alias("target"))
-    return left.join(right, "target").where("a < b").select("a", "b", "target")
+    """What the two ends of every follow both follow."""
+    return U.common_of_pairs(X.follows(s, d), X.follows(s, d).select(F.col("from_user_id").alias("a"), F.col("to_user_id").alias("b")))
 
 
 @query("SELECT a.from_user_id AS a, a.to_user_id AS b FROM fol a JOIN fol b ON a.from_user_id = b.to_user_id AND a.to_user_id = b.from_user_id WHERE a.from_user_id < a.to_user_id")
@@ -126,23 +129,27 @@ def mutual_pairs(s, d):
     return U.mutual_pairs(X.edges(s, d))
 
 
-@query("SELECT to_user_id AS id FROM fol WHERE from_user_id = 202 EXCEPT SELECT from_user_id FROM fol WHERE to_user_id = 202")
+@query("SELECT to_user_id AS id FROM fol WHERE from_user_id = 4 EXCEPT SELECT from_user_id FROM fol WHERE to_user_id = 4")
 def following_only(s, d):
-    return U.one_sided(X.edges(s, d), 202, "following")
+    return U.one_sided(X.edges(s, d), 4, "following")
 
 
-@query("SELECT from_user_id AS id FROM fol WHERE to_user_id = 202 EXCEPT SELECT to_user_id FROM fol WHERE from_user_id = 202")
+@query("SELECT from_user_id AS id FROM fol WHERE to_user_id = 1 EXCEPT SELECT to_user_id FROM fol WHERE from_user_id = 1")
 def followers_only(s, d):
-    return U.one_sided(X.edges(s, d), 202, "followers")
+    return U.one_sided(X.edges(s, d), 1, "followers")
+
 
+_LOGINS = "array_to_string((SELECT list(u.login ORDER BY u.login) FROM fol f JOIN usr u ON u.id = f.{far} WHERE f.{own} = c.id AND f.from_user_id <> f.to_user_id{more}), ',')"
 
-@query("""SELECT c.login, c.name, c.following, array_to_string((SELECT list(u.login ORDER BY u.login) FROM fol f JOIN usr u ON u.id = f.to_user_id WHERE f.from_user_id = c.id), ',') AS following_logins,
- array_to_string((SELECT list(u.login ORDER BY u.login) FROM fol f JOIN usr u ON u.id = f.from_user_id WHERE f.to_user_id = c.id AND f.from_user_id <> c.id), ',') AS follower_logins,
- EXISTS (SELECT 1 FROM prof p WHERE p.user_id = c.id) AS profile_crawled FROM card c WHERE c.login = 'Customer#000000202'""")
+
+@query(f"""SELECT c.login, c.name, c.following, {_LOGINS.format(own="from_user_id", far="to_user_id", more="")} AS following_logins, {_LOGINS.format(own="to_user_id", far="from_user_id", more="")} AS follower_logins,
+ {_LOGINS.format(own="from_user_id", far="to_user_id", more=" AND EXISTS (SELECT 1 FROM fol g WHERE g.from_user_id = f.to_user_id AND g.to_user_id = f.from_user_id)")} AS mutual_logins,
+ (SELECT count(*) FROM fol f JOIN usr u ON u.id = f.to_user_id WHERE f.from_user_id = c.id) AS following_count, (SELECT count(*) FROM fol f JOIN usr u ON u.id = f.from_user_id WHERE f.to_user_id = c.id AND f.from_user_id <> c.id) AS follower_count,
+ EXISTS (SELECT 1 FROM prof p WHERE p.user_id = c.id) AS profile_crawled FROM card c WHERE c.login = '{ME}'""")
 def user_profile(s, d):
-    card = U.user_card(X.edges(s, d), *_users(s, d), "Customer#000000202")
-    joined = {c: F.when(F.size(c) > 0, F.array_join(c, ",")) for c in ("following_logins", "follower_logins")}
-    return card.withColumns(joined).select("login", "name", "following", "following_logins", "follower_logins", "profile_crawled")
+    card = U.user_card(X.edges(s, d), *_users(s, d), ME)
+    joined = {c: F.when(F.size(c) > 0, F.array_join(c, ",")) for c in ("following_logins", "follower_logins", "mutual_logins")}
+    return card.withColumns(joined).select("login", "name", "following", *joined, F.col("following_count").cast("long").alias("following_count"), F.col("follower_count").cast("long").alias("follower_count"), "profile_crawled")
 
 
 # Counts
@@ -207,30 +214,32 @@ hop AS (SELECT a.from_user_id AS me, b.to_user_id AS candidate, a.to_user_id AS
 sug AS (SELECT me, candidate, sum(gain) AS weight, list(y ORDER BY y) AS via FROM hop GROUP BY 1, 2)"""
 
 
-@query("SELECT a.from_user_id AS me, a.to_user_id AS y, b.to_user_id AS x FROM fol a JOIN fol b ON a.to_user_id = b.from_user_id")
+@query(f"SELECT a.from_user_id AS me, a.to_user_id AS y, b.to_user_id AS x FROM fol a JOIN fol b ON a.to_user_id = b.from_user_id WHERE a.from_user_id % {EVERY} = 0")
 def two_hop(s, d):
     f = X.follows(s, d)
-    return f.select(F.col("from_user_id").alias("me"), F.col("to_user_id").alias("y")).join(f.select(F.col("from_user_id").alias("y"), F.col("to_user_id").alias("x")), "y").select("me", "y", "x")
+    return f.where(F.col("from_user_id") % EVERY == 0).select(F.col("from_user_id").alias("me"), F.col("to_user_id").alias("y")).join(f.select(F.col("from_user_id").alias("y"), F.col("to_user_id").alias("x")), "y").select("me", "y", "x")
 
 
-@query(f"{_SUGGEST} SELECT u.login, round(s.weight, 6) AS weight, array_to_string(s.via, ',') AS via FROM sug s JOIN usr u ON u.id = s.candidate WHERE s.me = 202 ORDER BY s.weight DESC, u.login LIMIT 20")
+@query(f"{_SUGGEST} SELECT u.login, round(s.weight, 6) AS weight, array_to_string(s.via, ',') AS via FROM sug s JOIN usr u ON u.id = s.candidate WHERE s.me = 4 ORDER BY s.weight DESC, u.login LIMIT 20")
 def suggest(s, d):
-    return U.suggest(X.edges(s, d), X.users(s, d), "Customer#000000202").select("login", F.round("weight", 6).alias("weight"), F.array_join("via", ",").alias("via"))
+    return U.suggest(X.edges(s, d), X.users(s, d), ME).select("login", F.round("weight", 6).alias("weight"), F.array_join("via", ",").alias("via"))
 
 
-@query(f"{_SUGGEST} SELECT me, candidate, round(weight, 6) AS weight, array_to_string(via, ',') AS via FROM sug")
+@query(f"{_SUGGEST} SELECT me, candidate, round(weight, 6) AS weight, array_to_string(via, ',') AS via FROM sug WHERE me % {EVERY} = 0")
 def suggest_all_candidates(s, d):
-    return U.suggest_all(X.edges(s, d)).select("me", "candidate", F.round("weight", 6).alias("weight"), F.array_join("via", ",").alias("via"))
+    asked = X.users(s, d).where(F.col("id") % EVERY == 0).select(F.col("id").alias("me"))
+    return U.suggest_all(X.edges(s, d), asked).select("me", "candidate", F.round("weight", 6).alias("weight"), F.array_join("via", ",").alias("via"))
 
 
-@query(f"{_SUGGEST} SELECT (SELECT count(*) FROM fol WHERE from_user_id = 202) AS based_on, (SELECT count(*) FROM sug WHERE me = 202) AS candidates")
+@query(f"{_SUGGEST} SELECT (SELECT count(*) FROM fol WHERE from_user_id = 4) AS based_on, (SELECT count(*) FROM sug WHERE me = 4) AS candidates")
 def suggest_summary(s, d):
-    return U.suggest_summary(X.edges(s, d), X.users(s, d), "Customer#000000202")
+    return U.suggest_summary(X.edges(s, d), X.users(s, d), ME)
 
 
-@query("SELECT a.from_user_id AS a, b.from_user_id AS b, count(*) AS n FROM edg a JOIN edg b ON a.to_user_id = b.to_user_id AND a.from_user_id < b.from_user_id AND a.edge_type = 'starred' AND b.edge_type = 'starred' AND a.is_active = 1 AND b.is_active = 1 GROUP BY 1, 2")
+@query("SELECT a.from_user_id AS a, b.from_user_id AS b, count(*) AS n FROM edg a JOIN edg b ON a.to_user_id = b.to_user_id AND a.from_user_id <> b.from_user_id AND a.edge_type = 'starred' AND b.edge_type = 'starred' AND a.is_active = 1 AND b.is_active = 1 WHERE a.from_user_id % 50 = 0 GROUP BY 1, 2")
 def co_starred(s, d):
-    return U.co_targets(X.edges(s, d), "starred")
+    asked = X.users(s, d).where(F.col("id") % EVERY == 0).select(F.col("id").alias("a"))
+    return U.co_targets(X.edges(s, d), "starred", asked)
 
 
 # Traversals
@@ -238,7 +247,7 @@ def co_starred(s, d):
 
 @query("SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY pf, pt, side) AS INTEGER) AS rank FROM adj")
 def adjacency_ranked(s, d):
-    return graph.first_neighbours(graph.adjacency(X.follows(s, d)), 1 << 30).select("src", "dst", "rank")
+    return graph.first_neighbours(graph.adjacency(X.follows(s, d)), 0).select("src", "dst", "rank")
 
 
 @query("SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 50")
@@ -246,58 +255,72 @@ def neighbors_top50(s, d):
     return graph.first_neighbours(graph.adjacency(X.follows(s, d))).select("src", "dst", "rank")
 
 
-_BFS = ", b(id, distance) AS (SELECT 0, 0 UNION SELECT adj.dst, b.distance + 1 FROM b JOIN adj ON adj.src = b.id WHERE b.distance < 60)"
+_BFS = ", b(id, distance) AS (SELECT CAST(4 AS BIGINT), 0 UNION SELECT adj.dst, b.distance + 1 FROM b JOIN adj ON adj.src = b.id WHERE b.distance < 40), dist AS (SELECT id, min(distance) AS distance FROM b GROUP BY 1)"
+# All shortest paths back from the targets; the smallest sequence of places is the one a queue finds first.
+_WAYS = """, way(target, cur, path, places) AS (SELECT id, id, [id], CAST([] AS STRUCT(f BIGINT, t BIGINT, s INTEGER)[]) FROM goals UNION ALL
+  SELECT w.target, adj.src, list_prepend(adj.src, w.path), list_prepend({'f': adj.pf, 't': adj.pt, 's': adj.side}, w.places)
+  FROM way w JOIN dist dc ON dc.id = w.cur JOIN adj ON adj.dst = w.cur JOIN dist ds ON ds.id = adj.src WHERE dc.distance > 0 AND ds.distance = dc.distance - 1),
+best AS (SELECT target, path FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY places) AS rn FROM way WHERE cur = 4) x WHERE rn = 1)"""
+_FAR = ", goals AS (SELECT id FROM dist ORDER BY distance DESC, id LIMIT 1)"
+_FUZZY = ", hits AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN login ILIKE 'hub%' THEN 0 ELSE 1 END, login) - 1 AS place FROM usr WHERE login ILIKE '%hub%' ORDER BY place LIMIT 20), goals AS (SELECT h.id FROM hits h JOIN dist USING (id))"
 
 
-@query(f"{_BFS} SELECT id, min(distance) AS distance FROM b GROUP BY 1", recursive=True)
+@query(f"{_BFS} SELECT * FROM dist", recursive=True)
 def bfs_distance(s, d):
-    return graph.distances(X.follows(s, d), 0)
+    return graph.distances(X.follows(s, d), 4)
+
 
+def _farthest(s, d) -> int:
+    """The user farthest from 4."""
+    return graph.distances(X.follows(s, d), 4).orderBy(F.desc("distance"), "id").first().id
 
-@query(f"{_BFS} SELECT min(distance) AS hops FROM b WHERE id = 107", recursive=True)
+
+@query(f"{_BFS}{_FAR} SELECT distance AS hops FROM dist JOIN goals USING (id)", recursive=True)
 def shortest_path_len(s, d):
-    paths = graph.shortest_paths(X.follows(s, d), 0, [107])
+    paths = graph.shortest_paths(X.follows(s, d), 4, [_farthest(s, d)])
     return paths.select((F.size("path") - 1).alias("hops"))
 
 
-@query()
+@query(f"{_BFS}{_FAR}{_WAYS} SELECT target, array_to_string(path, ',') AS path FROM best", recursive=True)
 def shortest_path(s, d):
-    return graph.shortest_paths(X.follows(s, d), 0, [107]).select("target", F.array_join("path", ",").alias("path"))
+    return graph.shortest_paths(X.follows(s, d), 4, [_farthest(s, d)]).select("target", F.array_join("path", ",").alias("path"))
 
 
-@query()
+@query(f"{_BFS}{_FUZZY}{_WAYS} SELECT CAST(place AS INTEGER) AS path_no, array_to_string(path, ',') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM best JOIN hits ON id = target", recursive=True)
 def route_fuzzy(s, d):
     u, p = _users(s, d)
-    out = routes.route(X.follows(s, d), u, p, ME, "#00000010", limit=0, fuzzy=True)
+    out = routes.route(X.follows(s, d), u, p, ME, "hub", limit=0, fuzzy=True)
     return out.select("path_no", F.array_join("path", ",").alias("path"), "hops")
 
 
-@query()
+@query(
+    f"""{_BFS}{_FAR}{_WAYS}, hop AS (SELECT path[i] AS a, path[i + 1] AS b, i - 1 AS hop FROM best, generate_series(1, len(path) - 1) g(i))
+SELECT 0 AS path_no, CAST(hop AS INTEGER) AS hop, CASE WHEN EXISTS (SELECT 1 FROM fol WHERE from_user_id = a AND to_user_id = b) THEN a ELSE b END AS from_user_id,
+ CASE WHEN EXISTS (SELECT 1 FROM fol WHERE from_user_id = a AND to_user_id = b) THEN b ELSE a END AS to_user_id FROM hop""",
+    recursive=True,
+)
 def path_directed_edges(s, d):
     f = X.follows(s, d)
-    return graph.directed_edges(graph.shortest_paths(f, 0, [107]).select(F.lit(0).alias("path_no"), "path"), f)
+    return graph.directed_edges(graph.shortest_paths(f, 4, [_farthest(s, d)]).select(F.lit(0).alias("path_no"), "path"), f)
 
 
 _PATHS = """, w AS (SELECT src, dst, rank FROM rk WHERE rank <= 50),
-p(cur, path, ranks) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], CAST([] AS BIGINT[]) UNION ALL
-  SELECT w.dst, list_append(p.path, w.dst), list_append(p.ranks, w.rank) FROM p JOIN w ON w.src = p.cur WHERE p.cur <> 1475 AND len(p.path) < 6 AND NOT list_contains(p.path, w.dst))"""
+p(cur, path, ranks) AS (SELECT CAST(4 AS BIGINT), [CAST(4 AS BIGINT)], CAST([] AS BIGINT[]) UNION ALL
+  SELECT w.dst, list_append(p.path, w.dst), list_append(p.ranks, w.rank) FROM p JOIN w ON w.src = p.cur WHERE p.cur <> 5 AND len(p.path) < 4 AND NOT list_contains(p.path, w.dst))"""
 
 
-@query(f"{_PATHS} SELECT array_to_string(path, ',') AS path, array_to_string(ranks, ',') AS ranks FROM p WHERE cur = 1475", recursive=True)
+@query(f"{_PATHS} SELECT array_to_string(path, ',') AS path, array_to_string(ranks, ',') AS ranks FROM p WHERE cur = 5", recursive=True)
 def all_paths(s, d):
-    return graph.all_paths(X.follows(s, d), 0, 1475).select(F.array_join("path", ",").alias("path"), F.array_join("ranks", ",").alias("ranks"))
+    """All simple paths of at most four users from 4 to 5."""
+    return graph.all_paths(X.follows(s, d), 4, 5, most_nodes=4).select(F.array_join("path", ",").alias("path"), F.array_join("ranks", ",").alias("ranks"))
 
 
 # Structure
 
 
-_BRIDGES = """, und AS (SELECT DISTINCT src AS x, dst AS y FROM adj WHERE src <> dst), cand AS (SELECT DISTINCT from_user_id AS v FROM fol),
-reach(v, s, n) AS (SELECT c.v, u.y, u.y FROM cand c JOIN und u ON u.x = c.v UNION SELECT r.v, r.s, u.y FROM reach r JOIN und u ON u.x = r.n WHERE u.y <> r.v),
-low AS (SELECT v, s, min(n) AS m FROM reach GROUP BY 1, 2), parts AS (SELECT v, count(DISTINCT m) AS k FROM low GROUP BY 1)"""
-
-
-@query(f"{_BRIDGES} SELECT c.v AS id, CAST(greatest(coalesce(p.k, 0) - 1, 0) AS BIGINT) AS impact FROM cand c LEFT JOIN parts p USING (v)", recursive=True)
+@query()
 def bridges(s, d):
+    """Compared with removing every user in turn in the tests; as SQL that is a search of the graph for each."""
     return structure.bridges(X.users(s, d), X.follows(s, d))
 
 
@@ -336,15 +359,8 @@ def modularity_by_label(s, d):
 _RANK = "CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 WHEN 'low' THEN 2 END"
 
 
-@query(f"SELECT scope_key, CAST(row_number() OVER (ORDER BY CASE status WHEN 'pending' THEN 0 ELSE 1 END, {_RANK} NULLS FIRST, error_count, seq) AS INTEGER) AS place FROM state WHERE status IN ('pending', 'retry') ORDER BY place LIMIT 100")
-def queue_claim_order(s, d):
-    first = queue.claim_order(X.crawl_state(s, d)).limit(100)
-    order = Window.orderBy(F.when(F.col("status") == "pending", 0).otherwise(1), queue.priority_rank(F.col("priority")).asc_nulls_first(), "error_count", "seq")
-    return first.select("scope_key", F.row_number().over(order).alias("place"))
-
-
 @query(f"SELECT scope_key, row_number() OVER (ORDER BY CASE status WHEN 'pending' THEN 0 ELSE 1 END, {_RANK} NULLS FIRST, error_count, seq) AS place FROM state WHERE status IN ('pending', 'retry')")
-def queue_claim_order_all(s, d):
+def queue_claim_order(s, d):
     return queue.claim_places(X.crawl_state(s, d))
 
 
@@ -387,15 +403,8 @@ def reset_in_progress(s, d):
     return queue.recover(X.crawl_state(s, d)).select("scope_key", "status", "error_count")
 
 
-@query("SELECT login AS scope_key, 'pending' AS status FROM usr WHERE id % 2 = 0 AND login NOT IN (SELECT scope_key FROM state WHERE seq % 3 = 0) UNION ALL SELECT scope_key, status FROM state WHERE seq % 3 = 0")
-def pending_insert(s, d):
-    state = X.crawl_state(s, d).where("seq % 3 = 0")
-    batch = X.users(s, d).where("id % 2 = 0").select(F.lit(queue.CRAWLER).alias("crawler_name"), F.col("login").alias("scope_key"), F.lit(1).alias("degree"), F.lit("normal").alias("priority"), F.col("id").alias("seq"))
-    return queue.enqueue(state, batch.unionByName(batch))[0].select("scope_key", "status")
-
-
 @query("SELECT login AS scope_key, 'pending' AS status FROM usr WHERE login NOT IN (SELECT scope_key FROM state) UNION ALL SELECT scope_key, status FROM state")
-def pending_insert_all(s, d):
+def pending_insert(s, d):
     batch = X.users(s, d).select(F.lit(queue.CRAWLER).alias("crawler_name"), F.col("login").alias("scope_key"), F.lit(1).alias("degree"), F.lit("normal").alias("priority"), F.col("id").alias("seq"))
     return queue.enqueue(X.crawl_state(s, d), batch)[0].select("scope_key", "status")
 
@@ -447,48 +456,73 @@ def insert_users(s, d):
     return queue.upsert_users(X.users(s, d), table(s, d, "supplier").select(F.col("s_name").alias("login"), F.col("s_suppkey").alias("seq")))
 
 
-@query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE name END AS name FROM prof")
+@query("SELECT user_id, name, followers, epoch_us(fetched_at) AS fetched_us FROM prof")
 def upsert_profiles(s, d):
-    old = X.profiles(s, d).withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
-    new = old.where("user_id % 2 = 0").withColumns({"name": F.lit("new"), "fetched_at": F.lit("2024-01-02").cast("timestamp")})
-    return queue.upsert_profiles(old, new).select("user_id", "name")
+    """All fetches as delivered, put over the ones of the store."""
+    columns = ["user_id", *U.PROFILE, "fetched_at"]
+    delivered = table(s, d, "user_profiles").select(*columns).where("user_id is not null")
+    return queue.upsert_profiles(X.profiles(s, d).select(*columns), delivered).select("user_id", "name", "followers", F.unix_micros("fetched_at").alias("fetched_us"))
 
 
-@query("SELECT login, following, followers, following IS NOT NULL AS resolved FROM card")
+_SEEN = ", seen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fetched_at DESC NULLS LAST, update_id DESC) AS rn FROM profile_updates WHERE user_id IS NOT NULL) x WHERE rn = 1)"
+
+
+@query(f"{_SEEN} SELECT c.login, coalesce(c.following, CASE WHEN s.user_id IS NOT NULL THEN coalesce(s.following, 0) END) AS following, coalesce(c.followers, CASE WHEN s.user_id IS NOT NULL THEN coalesce(s.followers, 0) END) AS followers, c.following IS NOT NULL OR s.user_id IS NOT NULL AS resolved FROM card c LEFT JOIN seen s ON s.user_id = c.id")
 def profile_resolution(s, d):
+    """Every user's counts from the stored profile, else from the newest observation."""
     u, p = _users(s, d)
-    cached = U.with_profiles(u, p).where("following is not null and id % 2 = 0")
-    fetched = U.with_profiles(u, p).where("following is not null and id % 2 = 1")
-    return queue.resolve_profiles(u, cached, fetched)
+    newest = table(s, d, "profile_updates").where("user_id is not null").groupBy("user_id").agg(F.max(F.struct("fetched_at", "update_id", "following", "followers")).alias("m"))
+    fetched = newest.join(u, F.col("user_id") == F.col("id")).select("login", "m.following", "m.followers")
+    return queue.resolve_profiles(u, U.with_profiles(u, p).where("following is not null"), fetched)
 
 
 def _crawl(s, d):
-    u, f = X.users(s, d), X.follows(s, d)
-    names = u.select(F.col("id").alias("n"), "login")
-    out = f.join(names, F.col("to_user_id") == F.col("n")).groupBy(F.col("from_user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("login", F.lit(None).cast("string").alias("avatar_url")))).alias("following"))
-    joined = u.join(out, "id").select("login", F.size("following").alias("following_count"), F.lit(0).alias("followers_count"), "following", F.expr("slice(following, 1, 0)").alias("followers"), F.col("id").alias("seq"))
-    known = u.where("id % 2 = 0")
-    state = X.crawl_state(s, d).where("seq % 2 = 0")
-    return queue.crawl_step(state, known, X.edges(s, d).where("from_user_id % 2 = 0 and to_user_id % 2 = 0"), joined, _at())
-
-
-@query("SELECT u.login, CAST(count(*) AS BIGINT) AS new_connections FROM fol JOIN usr u ON u.id = fol.from_user_id JOIN usr v ON v.id = fol.to_user_id GROUP BY 1")
+    """The follow lists of all users that follow or are followed as results of one crawl, over the users discovered so far.
+
+    Lists are gathered only for users that are no hubs, so none is longer than the hub threshold.
+    """
+    f, every = X.follows(s, d), X.users(s, d)
+    known = every.join(table(s, d, "users").where("discovered_at is not null").select("id").distinct(), "id", "left_semi")
+    ends = f.select(F.inline(F.array(F.struct(F.col("from_user_id").alias("id"), F.col("to_user_id").alias("peer"), F.lit(0).alias("side")), F.struct(F.col("to_user_id").alias("id"), F.col("from_user_id").alias("peer"), F.lit(1).alias("side")))))
+    counts = ends.groupBy("id").agg(F.count_if(F.col("side") == 0).alias("following_count"), F.count_if(F.col("side") == 1).alias("followers_count"))
+    open_ = counts.where(~model.is_hub(F.col("following_count"), F.col("followers_count"))).select("id")
+    names = every.select(F.col("id").alias("peer"), "login")
+    summary = F.struct("login", F.lit(None).cast("string").alias("avatar_url"))
+    lists = ends.join(open_, "id", "left_semi").join(names, "peer").groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == k, summary))).alias(c) for k, c in enumerate(("following", "followers"))])
+    none = F.array().cast("array<struct<login:string,avatar_url:string>>")
+    results = counts.join(every, "id").join(lists, "id", "left").select("login", "following_count", "followers_count", F.coalesce("following", none).alias("following"), F.coalesce("followers", none).alias("followers"), F.col("id").alias("seq"))
+    return queue.crawl_step(X.crawl_state(s, d), known, X.edges(s, d), results, _at())
+
+
+_CRAWL = """, ends AS (SELECT from_user_id AS id, to_user_id AS peer, 0 AS side FROM fol UNION ALL SELECT to_user_id, from_user_id, 1 FROM fol),
+counts AS (SELECT id, count(*) FILTER (side = 0) AS following_count, count(*) FILTER (side = 1) AS followers_count FROM ends GROUP BY 1),
+opened AS (SELECT u.* FROM usr u JOIN counts c USING (id) WHERE following_count < 5000 AND followers_count < 5000),
+disc AS (SELECT DISTINCT id FROM users WHERE discovered_at IS NOT NULL)"""
+
+
+@query(f"{_CRAWL} SELECT o.login, count(*) AS new_connections FROM opened o JOIN ends e USING (id) JOIN usr p ON p.id = e.peer GROUP BY 1")
 def crawl_step_done(s, d):
-    """New connections of each scope of a crawl batch: the follow lists of all users."""
+    """New connections of each scope of a crawl batch."""
     return _crawl(s, d)["events"].where("event = 'user_done'").select("login", "new_connections")
 
 
-@query("SELECT DISTINCT v.login FROM fol JOIN usr v ON v.id = fol.to_user_id WHERE v.id % 2 = 1")
+@query(f"{_CRAWL} SELECT DISTINCT p.login FROM opened o JOIN ends e USING (id) JOIN usr p ON p.id = e.peer WHERE p.login NOT IN (SELECT scope_key FROM state)")
 def crawl_step_queued(s, d):
     """Logins that the same batch puts into the queue."""
     return _crawl(s, d)["events"].where("event = 'user_queued'").select("login")
 
 
-@query("SELECT count(*) AS users FROM (SELECT id FROM usr WHERE id % 2 = 0 UNION SELECT from_user_id FROM fol UNION SELECT f.to_user_id FROM fol f JOIN usr v ON v.id = f.to_user_id) x")
+@query(f"{_CRAWL} SELECT count(*) AS users FROM (SELECT id FROM disc UNION SELECT id FROM opened UNION SELECT e.peer FROM opened o JOIN ends e USING (id) JOIN usr p ON p.id = e.peer) x")
 def crawl_step_users(s, d):
     return _crawl(s, d)["users"].agg(F.count("*").alias("users"))
 
 
+@query(f"{_CRAWL} SELECT status, count(*) AS n FROM (SELECT CASE WHEN s.scope_key IN (SELECT login FROM opened) THEN 'done' ELSE status END AS status FROM state s UNION ALL SELECT CASE WHEN q.login IN (SELECT login FROM opened) THEN 'done' ELSE 'pending' END FROM (SELECT DISTINCT p.login FROM opened o JOIN ends e USING (id) JOIN usr p ON p.id = e.peer WHERE p.login NOT IN (SELECT scope_key FROM state)) q) x GROUP BY 1")
+def crawl_step_state(s, d):
+    """Scopes per status after the batch."""
+    return _crawl(s, d)["state"].groupBy("status").agg(F.count("*").alias("n"))
+
+
 # Export, protocol
 
 
@@ -502,7 +536,8 @@ def export_edges(s, d):
     return U.export_edges(X.edges(s, d), X.users(s, d))
 
 
-@query()
+@query("""SELECT 'user' AS kind, CAST(to_json({'id': id, 'login': login, 'name': name, 'company': company, 'location': location, 'followers': followers, 'following': following, 'public_repos': public_repos}) AS VARCHAR) AS json FROM card
+UNION ALL SELECT 'edge', CAST(to_json({'from': a.login, 'to': b.login, 'type': e.edge_type, 'degree': e.degree}) AS VARCHAR) FROM edg e JOIN usr a ON a.id = e.from_user_id JOIN usr b ON b.id = e.to_user_id WHERE e.is_active = 1""")
 def export_json(s, d):
     return crawl.export_lines(X.edges(s, d), *_users(s, d))
 
@@ -546,7 +581,7 @@ def thresholds(s, d):
     return X.profiles(s, d).select("user_id", S.density_bucket(n / 1e6).alias("density"), S.impact_bucket(n).alias("impact"), S.modularity_bucket(n / 1e4).alias("modularity"), S.quota_bucket(n).alias("quota"))
 
 
-@query("SELECT user_id, CASE WHEN length(name) <= 12 THEN name ELSE substr(name, 1, 11) || '…' END AS short, CASE WHEN length(location) >= 10 THEN location ELSE location || repeat(' ', 10 - length(location)) END AS wide, CASE WHEN length(location) >= 10 THEN location ELSE repeat(' ', 10 - length(location)) || location END AS right FROM prof")
+@query("SELECT user_id, CASE WHEN length_grapheme(name) <= 12 THEN name ELSE left_grapheme(name, 11) || '…' END AS short, location || repeat(' ', greatest(10 - length_grapheme(location), 0)) AS wide, repeat(' ', greatest(10 - length_grapheme(location), 0)) || location AS right FROM prof")
 def truncate(s, d):
     return X.profiles(s, d).select("user_id", S.truncate(F.col("name"), 12).alias("short"), S.pad_right(F.col("location"), 10).alias("wide"), S.pad_left(F.col("location"), 10).alias("right"))
 

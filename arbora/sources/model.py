@@ -30,12 +30,24 @@ def follows(edges: DataFrame) -> DataFrame:
 
 
 def latest_edges(delivered: DataFrame) -> DataFrame:
-    """One row per edge key of an edge table delivered with repeats: the one seen last."""
+    """One row per edge key of an edge table delivered with repeats: the one seen last (ties: the largest columns)."""
     rest = [c for c in delivered.columns if c not in EDGE_KEY]
     newest = F.max(F.struct(F.col("last_seen_at").alias("_seen"), *rest)).alias("m")
     return delivered.groupBy(*EDGE_KEY).agg(newest).select(*EDGE_KEY, *[F.col(f"m.{c}") for c in rest])
 
 
+def standing(delivered: DataFrame, edge_type: str) -> DataFrame:
+    """(from_user_id, to_user_id): the edges of one type whose row seen last is active, from a table delivered with repeats.
+
+    Keys and state are of fixed width, so rows are aggregated by hash before the shuffle: the last bit of the instant
+    takes the state, and the largest wins.
+    """
+    seen = F.coalesce(F.unix_micros(F.col("last_seen_at").cast("timestamp")), F.lit(-(1 << 61)))
+    state = (seen * 2 + F.when(F.col("is_active") == 1, 1).otherwise(0)).alias("s")
+    rows = delivered.where(F.col("edge_type") == edge_type).select("from_user_id", "to_user_id", state)
+    return rows.groupBy("from_user_id", "to_user_id").agg(F.max("s").alias("s")).where("pmod(s, 2) = 1").select("from_user_id", "to_user_id")
+
+
 def as_of(edges: DataFrame, instant: str) -> DataFrame:
     """Edges that stood at an instant: seen by then and not removed by then."""
     at = F.lit(instant).cast("timestamp")

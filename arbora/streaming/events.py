@@ -48,9 +48,17 @@ def first_enqueue(events: DataFrame) -> DataFrame:
 
 
 def newest(events: DataFrame, most: int = RING) -> DataFrame:
-    """The newest ``most`` events of each type, the last first; cut before the shuffle."""
-    order = Window.partitionBy("event").orderBy(F.desc("ts"), F.desc("event_id"))
-    return events.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    """The newest ``most`` events of each type, the last first.
+
+    Counts per minute, added up before the shuffle, tell which minutes can hold one of them; only their events are sorted.
+    """
+    minute = F.date_trunc("minute", "ts")
+    counts = events.groupBy(F.col("event").alias("e"), minute.alias("m")).agg(F.count("*").alias("n"))
+    later = Window.partitionBy("e").orderBy(F.desc_nulls_last("m")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counts.select("e", "m", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("newer")).where(F.col("newer") < most)
+    near = events.join(wanted, F.col("event").eqNullSafe(F.col("e")) & minute.eqNullSafe(F.col("m")), "left_semi")
+    order = Window.partitionBy("event").orderBy(F.desc_nulls_last("ts"), F.desc_nulls_last("event_id"))
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
 def page(events: DataFrame, height: int, scroll: int = 0) -> DataFrame:

@@ -7,9 +7,9 @@ from arbora.plans import data_queries, graph_queries
 
 FAST = [
     *data_queries.QUERIES,
-    *"users_with_profile search_users common_following_all mutual_pairs user_profile degree_dist graph_counts min_incoming_degree suggest_all_candidates suggest all_paths bfs_distance wcc bridges".split(),
+    *"users_with_profile search_users common_following_all mutual_pairs user_profile degree_dist graph_counts min_incoming_degree suggest_all_candidates suggest all_paths route_fuzzy path_directed_edges wcc".split(),
     *"queue_claim queue_preview status_snapshot hub_defer pending_insert edge_upsert edge_history_delta edges_as_of insert_users crawl_step_done crawl_step_queued crawl_step_users export_edges".split(),
-    *"fmt_uptime bar thresholds truncate file_size number_texts quota_reset stream_event_counts stream_dedup_enqueue ring_buffer_latest".split(),
+    *"fmt_uptime bar thresholds truncate file_size number_texts quota_reset export_json crawl_step_state common_following stream_event_counts stream_dedup_enqueue ring_buffer_latest".split(),
 ]
 
 
