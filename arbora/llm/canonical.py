@@ -8,8 +8,9 @@ are ranked by weighted Damerau-Levenshtein distance (transposed, doubled and nei
 little), by the letters they explain and by the reference frequency of the entry; other words around (a role, a legal
 form, a country) cost nothing. Values without an acceptable candidate are reported with 0.
 
-The dictionary is built in each task from the keys, which are shipped if the list is at most ``broadcast_limit`` long (counted).
-Beyond that, keys and runs are joined by their deletions and each value is ranked against the keys it met.
+Every distinct value is mapped once. The dictionary is built in each task from the keys, which are shipped if the list is at
+most ``broadcast_limit`` long (counted). Beyond that, keys and runs are joined by their deletions and each value is ranked
+against the keys it met: the same keys, bounds and frequencies, and so the same entry.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.runtime import cut, small
+
 #: Entries that are shipped to every task; some 30 keys of 20 bytes each.
 BROADCAST_LIMIT = 20_000
 #: Letters of a key that the dictionary indexes.
 PREFIX = 9
-#: Longest run of tokens that is looked up.
-MAX_RUN = 6
+#: Letters a run of tokens may have more than the longest key: no key allows more edits.
+SLACK = 2
 #: Values a worker remembers.
 CACHE = 100_000
 
@@ -83,14 +86,12 @@ def distance(a: str, b: str, most: float) -> float:
         gone = 0.2 if x == " " else 0.7 if i > 1 and a[i - 2] == x else 1.0
         row = [last[0] + gone]
         for j, y in enumerate(b, 1):
-            if x == y:
-                best = last[j - 1]
-            else:
-                swap = 0.8 if (x, y) in NEIGHBOURS else 1.0
-                added = 0.2 if y == " " else 0.7 if j > 1 and b[j - 2] == y else 1.0
-                best = min(last[j - 1] + swap, last[j] + gone, row[j - 1] + added)
-                if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    best = min(best, before[j - 2] + 0.8)
+            # Equal letters too: an edit beside a double letter or a blank can cost less than the one further on.
+            swap = 0.0 if x == y else 0.8 if (x, y) in NEIGHBOURS else 1.0
+            added = 0.2 if y == " " else 0.7 if j > 1 and b[j - 2] == y else 1.0
+            best = min(last[j - 1] + swap, last[j] + gone, row[j - 1] + added)
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 0.8)
             row.append(best)
         if min(row) > most:
             return float("inf")
@@ -135,30 +136,38 @@ def place_keys(name: str, unique: set[str]) -> dict[str, str]:
     return keys
 
 
+def keys_of(kind: str, name: str, listed: dict[str, int]) -> dict[str, str]:
+    """The keys of one entry and their forms, given in how many entries of its kind each of its words stands."""
+    if kind == "location":
+        return place_keys(name, set())
+    words = tokens(name)[0]
+    unique = {w for w in words if listed[w] <= 3} if len(words) > 2 else {w for w in words[:1] if listed[w] == 1}
+    return company_keys(name, unique)
+
+
 def entry_keys(entries: list[tuple[int, str, str]]) -> list[tuple[str, str, int, str]]:
     """(kind, key, ref_id, form) of all entries (ref_id, kind, canonical). A key two entries of a kind share is dropped."""
+    named = [(r, k, n) for r, k, n in set(entries) if n and tokens(n)[0]]
+    listed: dict[str, dict[str, set[int]]] = {}
+    for r, kind, name in named:
+        for w in tokens(name)[0]:
+            listed.setdefault(kind, {}).setdefault(w, set()).add(r)
     out: dict[tuple[str, str], set[tuple[int, str]]] = {}
-    for kind in sorted({k for _, k, _ in entries}):
-        names = {r: n for r, k, n in entries if k == kind and n and n.strip()}
-        first: dict[str, set[int]] = {}
-        proper: dict[str, int] = {}
-        for r, n in names.items():
-            ws = tokens(n)[0]
-            if ws:
-                first.setdefault(ws[0], set()).add(r)
-            for w in set(ws):
-                proper[w] = proper.get(w, 0) + 1
-        for r, n in names.items():
-            ws = tokens(n)[0]
-            if kind == "location":
-                keys = place_keys(n, set())
-            else:
-                unique = {w for w in ws if proper[w] <= 3} if len(ws) > 2 else {w for w in ws[:1] if proper[w] == 1}
-                keys = company_keys(n, unique)
-            for k, form in keys.items():
-                out.setdefault((kind, k), set()).add((r, form))
-    exact = {key: min(v) for key, v in out.items() if len({r for r, _ in v}) == 1}
-    return sorted((kind, k, r, form) for (kind, k), (r, form) in exact.items())
+    for r, kind, name in named:
+        for key, form in keys_of(kind, name, {w: len(listed[kind][w]) for w in tokens(name)[0]}).items():
+            out.setdefault((kind, key), set()).add((r, form))
+    return sorted((kind, key, *min(v)) for (kind, key), v in out.items() if len({r for r, _ in v}) == 1)
+
+
+def runs(words: list[str], longest: int):
+    """(i, j, run, tight): the runs of tokens i..j with blanks and without, none much longer than the longest key."""
+    for i in range(len(words)):
+        run = tight = ""
+        for j in range(i, len(words)):
+            run, tight = f"{run} {words[j]}".strip(), tight + words[j]
+            if len(tight) > longest + SLACK:
+                break
+            yield i, j, run, tight
 
 
 class Matcher:
@@ -171,6 +180,7 @@ class Matcher:
         for n, (_, tight, _, _) in enumerate(self.keys):
             for d in deletions(tight, edits(len(tight))):
                 self.index.setdefault(d, []).append(n)
+        self.longest = max((len(tight) for _, tight, _, _ in self.keys), default=0)
         self.cache: dict[str, int] = {}
 
     def __call__(self, value: str) -> int:
@@ -183,26 +193,23 @@ class Matcher:
     def match(self, value: str) -> int:
         words, hard = tokens(value)
         best = (0.0, 0, 0)
-        for i in range(len(words)):
-            run = ""
-            for j in range(i, min(i + MAX_RUN, len(words))):
-                run = f"{run} {words[j]}".strip()
-                tight = run.replace(" ", "")
-                near = {n for d in deletions(tight, edits(len(tight) + 1)) for n in self.index.get(d, ())}
-                for n in near:
-                    key, key_tight, ref, form = self.keys[n]
-                    bound = edits(len(key_tight))
-                    if abs(len(key_tight) - len(tight)) > bound:
-                        continue
-                    if self.places and any(len(w) < 3 and w not in run.split() and not tight.startswith(w) and not tight.endswith(w) for w in key.split()):
-                        continue  # an abbreviated first word must be there
-                    if self.places and any(w in PLACE_WORDS and w not in key.split() for w in words[i : j + 1]):
-                        continue  # "Fort" is no misspelt "Port"
-                    cost = distance(run, key, bound + 0.6)
-                    if cost > bound + 0.6 or cost >= 1 and len(key_tight) < 5 or self._contradicted(words, hard, i, j, form):
-                        continue
-                    score = len(key_tight) - 2.5 * cost
-                    best = max(best, (score, self.frequency.get(ref, 0), ref))
+        for i, j, run, tight in runs(words, self.longest):
+            near = {n for d in deletions(tight, edits(len(tight) + 1)) for n in self.index.get(d, ())}
+            for n in near:
+                key, key_tight, ref, form = self.keys[n]
+                bound = edits(len(key_tight))
+                # No key scores more than its letters.
+                if abs(len(key_tight) - len(tight)) > bound or len(key_tight) < best[0]:
+                    continue
+                if self.places and any(len(w) < 3 and w not in run.split() and not tight.startswith(w) and not tight.endswith(w) for w in key.split()):
+                    continue  # an abbreviated first word must be there
+                if self.places and any(w in PLACE_WORDS and w not in key.split() for w in words[i : j + 1]):
+                    continue  # "Fort" is no misspelt "Port"
+                cost = distance(run, key, bound + 0.6)
+                if cost > bound + 0.6 or cost >= 1 and len(key_tight) < 5 or self._contradicted(words, hard, i, j, form):
+                    continue
+                score = len(key_tight) - 2.5 * cost
+                best = max(best, (score, self.frequency.get(ref, 0), ref))
         return best[2]
 
     def _contradicted(self, words: list[str], hard: list[bool], i: int, j: int, form: str) -> bool:
@@ -217,80 +224,108 @@ def matcher(keys: tuple, frequency: tuple, kind: str) -> Matcher:
     return Matcher([(k, r, form) for t, k, r, form in keys if t == kind], dict(frequency), kind == "location")
 
 
-def reference_frequency(profiles: DataFrame, entries: list[tuple[int, str, str]], fields: list[str]) -> dict[int, int]:
-    """How often each entry stands literally among the values (case and blanks apart)."""
-    spark = profiles.sparkSession
-    listed = spark.createDataFrame([(k, n.strip().lower(), r) for r, k, n in entries if n], "field string, v string, ref_id long")
-    values = profiles.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.trim(f)).alias("v")) for f in fields])).alias("x")).select("x.*")
-    counts = values.groupBy("field", "v").agg(F.count("*").alias("n")).join(F.broadcast(listed), ["field", "v"]).groupBy("ref_id").agg(F.sum("n").alias("n"))
-    return {r.ref_id: r.n for r in counts.collect()}
+def reference_frequency(values: DataFrame, listed: DataFrame) -> DataFrame:
+    """(ref_id, n): how often each entry of ``listed`` stands literally among ``values`` (field, v, n), case and blanks apart."""
+    named = listed.select(F.col("kind").alias("field"), F.lower(F.trim("canonical")).alias("v"), "ref_id")
+    spelt = values.select("field", F.lower(F.trim("v")).alias("v"), "n").groupBy("field", "v").agg(F.sum("n").alias("n"))
+    return named.join(spelt, ["field", "v"]).groupBy("ref_id").agg(F.sum("n").alias("n"))
 
 
-def map_values(profiles: DataFrame, canonical: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("company", "location"), broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """(key, field, ref_id): for every row's value of each field that is not null or only white space its entry, or 0.
+def usable(canonical: DataFrame, kinds: list[str]) -> DataFrame:
+    """(ref_id, kind, canonical) of the list's entries of these kinds, without null and blank ones."""
+    rows = canonical.select(F.col("ref_id").cast("long").alias("ref_id"), "kind", "canonical")
+    return rows.where(F.col("kind").isin(kinds) & F.col("ref_id").isNotNull() & (F.trim("canonical") != "")).distinct()
 
-    ``canonical`` has ref_id, kind (a field) and canonical; null or blank entries are ignored and an empty list maps all
-    to 0. Repeated rows give one row; a key with different values gives a row for each entry. Null keys are left out.
-    """
-    fields = list(fields)
-    rows = profiles.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), *fields)
-    listed = canonical.select(F.col("ref_id").cast("long"), "kind", "canonical").where(F.col("kind").isin(fields) & F.col("canonical").isNotNull()).distinct()
+
+def mapped(values: DataFrame, listed: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """(field, v, ref_id): the entry of ``listed`` (ref_id, kind, canonical), or 0, of each of the distinct ``values``
+    (field, v, n: how often it stands). Values that are only white space are left out."""
+    frequency = reference_frequency(values, listed)
     if listed.limit(broadcast_limit + 1).count() > broadcast_limit:
-        return _map_by_join(rows, listed, key, fields)
-    entries = [(r.ref_id, r.kind, r.canonical) for r in listed.collect()]
-    keys, frequency = tuple(entry_keys(entries)), tuple(sorted(reference_frequency(rows, entries, fields).items()))
+        return _mapped_by_join(values, listed, frequency)
+    keys = tuple(entry_keys([(r.ref_id, r.kind, r.canonical) for r in listed.collect()]))
+    counts = tuple(sorted((r.ref_id, r.n) for r in frequency.collect()))
 
     def run(batches):
         for b in batches:
-            out_k, out_f, out_r = [], [], []
-            ids = b.column("k").to_pylist()
-            for f in fields:
-                match = matcher(keys, frequency, f)
-                for i, v in zip(ids, b.column(f).to_pylist()):
-                    if v is not None and v.strip():
-                        out_k.append(i)
-                        out_f.append(f)
-                        out_r.append(match(v))
-            yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_f, pa.string()), pa.array(out_r, pa.int64())], names=["k", "field", "ref_id"])
+            fields, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            refs = [matcher(keys, counts, f).match(v) if v.strip() else None for f, v in zip(fields, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(refs, pa.int64())], names=["field", "v", "ref_id"])
 
-    return rows.mapInArrow(run, "k long, field string, ref_id long").distinct().withColumnRenamed("k", key)
+    # So many tasks whatever the size in bytes: the work is per value.
+    spread = values.select("field", "v").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    return spread.mapInArrow(run, "field string, v string, ref_id long").where("ref_id is not null")
 
 
-def _map_by_join(rows: DataFrame, listed: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The same for a list too long to ship: distinct values and entries meet by the deletions of their token runs.
+def map_values(profiles: DataFrame, canonical: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("company", "location"), broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """(key, field, ref_id): for every row's value of each field that is not null or only white space its entry, or 0.
 
-    Names unique in the list cannot be told from a part of it, so only whole, swapped and abbreviated keys are used.
+    ``canonical`` has ref_id, kind (a field) and canonical; null or blank entries are ignored and an empty list maps all
+    to 0. Repeated rows give one row; a key with different values gives a row for each entry. Null keys are left out.
     """
-    value_kind = "field string, v string, d string"
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
+    rows = profiles.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.explode(pairs).alias("x")).select("k", "x.field", "x.v").where("v is not null")
+    values = cut(rows.groupBy("field", "v").agg(F.count("*").alias("n")))
+    known = cut(mapped(values, usable(canonical, list(fields)), broadcast_limit))
+    return rows.join(small(known), ["field", "v"]).select(F.col("k").alias(key), "field", "ref_id").distinct()
 
-    def value_deletions(batches):
+
+def _mapped_by_join(values: DataFrame, listed: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``mapped`` for a list too long to ship: values and keys meet by the deletions of their token runs."""
+    entry = "ref_id long, kind string, canonical string"
+
+    def words_of(batches):
+        for b in batches:
+            at, found = [], []
+            for i, name in enumerate(b.column(2).to_pylist()):
+                words = sorted(set(tokens(name)[0]))
+                at += [i] * len(words)
+                found += words
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns), pa.array(found, pa.string())], names=["ref_id", "kind", "canonical", "w"])
+
+    def keys_in(batches):
         for b in batches:
             out = []
-            for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, _ = tokens(v)
-                runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + MAX_RUN, len(words)) + 1)}
-                out += [(f, v, d) for d in {d for r in runs for d in deletions(r, edits(len(r) + 1))}]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["field", "v", "d"])
+            for r, kind, name, counts in zip(*(c.to_pylist() for c in b.columns)):
+                out += [(kind, k, r, form) for k, form in keys_of(kind, name, {x["w"]: x["n"] for x in counts}).items()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["field", "key", "ref_id", "form"])
+
+    words = cut(listed.mapInArrow(words_of, f"{entry}, w string"))
+    entries = words.join(words.groupBy("kind", "w").agg(F.count_distinct("ref_id").alias("n")), ["kind", "w"])
+    entries = entries.groupBy("ref_id", "kind", "canonical").agg(F.collect_set(F.struct("w", "n")).alias("counts"))
+    keys = entries.mapInArrow(keys_in, "field string, key string, ref_id long, form string")
+    keys = keys.groupBy("field", "key").agg(F.min(F.struct("ref_id", "form")).alias("m"), F.count_distinct("ref_id").alias("n")).where("n = 1").select("field", "key", "m.ref_id", "m.form")
+    keys = cut(keys.join(frequency.withColumnRenamed("n", "often"), "ref_id", "left").select("field", "key", "ref_id", "form", F.coalesce("often", F.lit(0)).alias("often")))
+    longest = {r.field: r.n for r in keys.groupBy("field").agg(F.max(F.length(F.replace("key", F.lit(" "), F.lit("")))).alias("n")).collect()}
+
+    def value_deletions(batches):
+        for b in batches:
+            at, found = [], []
+            for i, (f, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                met = {d for *_, tight in runs(tokens(v)[0], longest.get(f, 0)) for d in deletions(tight, edits(len(tight) + 1))}
+                at += [i] * len(met)
+                found += met
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(found, pa.string())], names=["field", "v", "d"])
 
     def key_deletions(batches):
         for b in batches:
-            out = []
-            for r, kind, name in zip(*(c.to_pylist() for c in b.columns)):
-                keys = place_keys(name, set()) if kind == "location" else company_keys(name, set())
-                out += [(kind, k, r, form, d) for k, form in keys.items() for d in deletions(k.replace(" ", ""), edits(len(k.replace(" ", ""))))]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["field", "key", "ref_id", "form", "d"])
+            at, found = [], []
+            for i, key in enumerate(b.column(1).to_pylist()):
+                tight = key.replace(" ", "")
+                met = deletions(tight, edits(len(tight)))
+                at += [i] * len(met)
+                found += met
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns), pa.array(found, pa.string())], names=["field", "key", "ref_id", "form", "often", "d"])
 
     def rank(batches):
         for b in batches:
             refs = []
             for f, v, ks in zip(*(c.to_pylist() for c in b.columns)):
-                refs.append(Matcher([(x["key"], x["ref_id"], x["form"]) for x in ks], {}, f == "location").match(v))
+                refs.append(Matcher([(x["key"], x["ref_id"], x["form"]) for x in ks or ()], {x["ref_id"]: x["often"] for x in ks or ()}, f == "location").match(v) if v.strip() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(refs, pa.int64())], names=["field", "v", "ref_id"])
 
-    values = rows.select("k", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("x")).select("k", "x.field", "x.v").where(r"v is not null and v rlike '\\S'")
-    distinct = values.select("field", "v").distinct()
-    met = distinct.mapInArrow(value_deletions, value_kind).join(listed.mapInArrow(key_deletions, "field string, key string, ref_id long, form string, d string"), ["field", "d"])
-    ranked = met.groupBy("field", "v").agg(F.collect_set(F.struct("key", "ref_id", "form")).alias("ks")).mapInArrow(rank, "field string, v string, ref_id long")
-    out = values.join(ranked, ["field", "v"], "left").select("k", "field", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id"))
-    return out.distinct().withColumnRenamed("k", key)
+    spread = keys.mapInArrow(key_deletions, "field string, key string, ref_id long, form string, often long, d string")
+    met = values.select("field", "v").mapInArrow(value_deletions, "field string, v string, d string").join(spread, ["field", "d"])
+    found = met.groupBy("field", "v").agg(F.collect_set(F.struct("key", "ref_id", "form", "often")).alias("ks"))
+    return values.select("field", "v").join(found, ["field", "v"], "left").mapInArrow(rank, "field string, v string, ref_id long").where("ref_id is not null")
