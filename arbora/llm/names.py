@@ -1,17 +1,21 @@
-"""Variant spellings of people's names at one organisation, linked by n-gram vectors and average-linkage clustering.
-
-1. Names and companies are cleaned. Equal cleaned (name, company) pairs are one *spelling*, however many accounts have it.
-2. A spelling's vector has the letter n-grams of its name tokens, weighted by inverse frequency over all spellings.
-3. A distributed sparse join finds all pairs of one organisation with cosine at least ``COSINE``: each vector sends
-   only the rarest n-grams that hold all but ``COSINE`` of its length (two vectors that reach it must share one of them).
-   Pairs are left out only if what these n-grams leave open cannot lift them to ``COSINE``; no such pair is lost.
-   There is no top-n cut: it would lose links.
-4. Pairs are scored by aligning the tokens: one as surname, one as given name (nickname, initial, typo), any order. The
-   companies must be the same entry of the canonical list, or resemble each other if neither is listed.
-5. The links of at least ``LINKAGE`` form components of spellings, and each is clustered by average linkage with all links
-   within it; links between two of them can merge nothing.
-
-Only step 5 gathers a group: the spellings, not the accounts, of one component. Components above ``component_limit`` are
+"""Variant spellings of people's names at one organisation, by n-gram vectors, a sparse cosine join and average linkage.
+
+1. Companies are mapped to the canonical list; those it does not have are grouped by steps 3 and 4 on their own vectors.
+   Either gives the *block* within which names are compared.
+2. Equal cleaned names of one block are one *spelling*, however many accounts have it. A name written as one word is taken
+   apart where both parts are words of other names.
+3. A spelling's vector holds the n-grams of its words, nicknames written out, each also marked with the initial of the
+   other word: so "B. Lomander" is close to "Beatrice Lomander" and far from "Harold Lomander". Weights are inverse
+   frequencies over all spellings. A distributed sparse join finds all pairs of a block with cosine at least ``COSINE``:
+   each vector sends only the rarest n-grams that hold all but ``COSINE`` of its length (two vectors that reach it must
+   share one of them), and what these leave open decides which pairs get their exact cosine. There is no top-n cut: it
+   would lose links.
+4. The pairs form components, and each is clustered by average linkage of the exact cosines, pairs below ``COSINE``
+   counting 0.
+5. A check follows on the links within clusters: the words must align as surname and given name (typo, nickname, initial),
+   and what aligns too badly on average falls out of its cluster.
+
+Only step 4 gathers a group: the spellings, not the accounts, of one component. Components above ``component_limit`` are
 merged in distributed rounds, with the same result, until they fall into smaller ones.
 """
 
@@ -19,25 +23,27 @@ from __future__ import annotations
 
 import heapq
 import re
-import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.canonical import LEGAL_FORMS, SMALL_WORDS, BROADCAST_LIMIT, Matcher, distance, entry_keys, tokens
+from arbora.llm.canonical import BROADCAST_LIMIT, LEGAL_FORMS, SMALL_WORDS, distance, mapped, tokens, usable
+from arbora.operators.graph import components
 from arbora.runtime import cut, small
 
-#: Cosine of the candidate join, score of a link, average score within a cluster.
-COSINE, LINK, LINKAGE = 0.15, 0.4, 0.6
-#: Allowance for rounding where sums of shared n-grams are held against ``COSINE``.
-SLACK = 1e-5
-#: Scores are added up as integers of this unit, so that no order of adding changes an average; LINKAGE in it.
+#: Cosine of a link between names, and between companies: also what clusters must reach on average.
+COSINE, COMPANY_COSINE = 0.2, 0.4
+#: Least score of a checked link, and what checked clusters must reach on average.
+LINK, CHECKED = 0.4, 0.45
+#: Share of the unmarked n-grams in a vector.
+PLAIN = 0.25
+#: Allowance for rounding where sums of shared n-grams are held against the cosine.
+ROUNDING = 1e-5
+#: Scores are added up as integers of this unit, so that no order of adding changes an average.
 UNITS = 1_000_000
-LEAST = round(LINKAGE * UNITS)
 #: Clusters of one component that are merged in one task.
 COMPONENT_LIMIT = 1000
 
@@ -173,124 +179,134 @@ def company_likeness(a: list[str], b: list[str]) -> float:
     return best
 
 
-def grams(words: list[str]) -> list[str]:
-    out = set()
+def grams(word: str) -> list[str]:
+    """Three letters in a row, and pairs of letters that touch or have one between: a typo spares most of one kind."""
+    x = f"^{word}$"
+    return [x[i : i + 3] for i in range(len(x) - 2)] + [x[i : i + 2] for i in range(len(x) - 1)] + [f"{x[i]}_{x[i + 2]}" for i in range(len(x) - 2)]
+
+
+def written_out(word: str) -> list[str]:
+    """The given names a nickname stands for, else the word."""
+    return sorted(ROOTS.get(word, {word}))
+
+
+def name_vector(words: list[str]) -> dict[str, float]:
+    """n-gram counts of a name of one or two words before they are weighted by frequency."""
+    out: dict[str, float] = {}
+    forms = [written_out(w) for w in words]
+    for i, own in enumerate(forms):
+        for form in own:
+            share = len(own) ** -0.5
+            out[f"1:{form[0]}"] = out.get(f"1:{form[0]}", 0.0) + PLAIN * share
+            if len(form) == 1:
+                continue
+            for g in grams(form):
+                out[g] = out.get(g, 0.0) + PLAIN * share
+                for other in (f for j, fs in enumerate(forms) if j != i for f in fs):
+                    marked = f"{other[0]}:{g}"
+                    out[marked] = out.get(marked, 0.0) + share * len([f for fs in forms[:i] + forms[i + 1 :] for f in fs]) ** -0.5
+    return out
+
+
+def company_vector(words: list[str]) -> dict[str, float]:
+    out: dict[str, float] = {}
     for w in words:
-        for form in ({w} | ROOTS.get(w, set())) if len(ROOTS.get(w, ())) <= 1 else {w}:
-            padded = f"^{form}$"
-            out |= {padded[i : i + 2] for i in range(len(padded) - 1)} if len(form) < 4 else set()
-            out |= {padded[i : i + 3] for i in range(len(padded) - 2)}
-            out.add(f"^{form[0]}")
-    return sorted(out)
+        for g in grams(w):
+            out[g] = out.get(g, 0.0) + 1.0
+    return out
 
 
-def spellings(profiles: DataFrame, canonical: DataFrame, broadcast_limit: int) -> DataFrame:
-    """(user_id, org long, name string, company string): accounts with a usable name and company, cleaned.
+def main_words(words: list[str]) -> list[str]:
+    """The words of a name without initials of second names."""
+    full = [w for w in words if len(w) > 1]
+    return full if len(full) > 1 else full + [w for w in words if len(w) == 1][:1]
 
-    org is the entry of the canonical list, 0 for others, whose cleaned company is kept; for listed ones it is blank.
-    """
-    listed = canonical.select(F.col("ref_id").cast("long"), "kind", "canonical").where("kind = 'company' and canonical is not null").distinct()
-    if listed.limit(broadcast_limit + 1).count() > broadcast_limit:
-        listed = listed.limit(0)  # then all companies are compared with each other as unlisted ones are
-    keys = tuple(entry_keys([(r.ref_id, r.kind, r.canonical) for r in listed.collect()]))
+
+def _cleaned(clean):
+    """Column 0 through, column 1 as cleaned words in one string; rows without any are left out."""
 
     def run(batches):
-        match = _matcher(keys)
         for b in batches:
-            out = []
-            for i, name, company in zip(*(c.to_pylist() for c in b.columns)):
-                words = name_tokens(name)
-                org = match(company)
-                firm = [] if org else company_tokens(company)
-                if words and (org or firm):
-                    out.append((i, org, " ".join(words), " ".join(firm)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], t) for n, t in enumerate(kinds)], names=["user_id", "org", "name", "company"])
-
-    rows = profiles.select(F.col("user_id").cast("long"), "name", "company").where(r"user_id is not null and name rlike '\\S' and company rlike '\\S'")
-    return rows.mapInArrow(run, "user_id long, org long, name string, company string").distinct()
-
-
-@lru_cache(maxsize=2)
-def _matcher(keys: tuple) -> Matcher:
-    return Matcher([(k, r, form) for _, k, r, form in keys], {}, False)
-
-
-def _vectors(batches):
-    for b in batches:
-        ids, feats = [], []
-        for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            g = grams(name.split(" "))
-            ids += [i] * len(g)
-            feats += g
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(feats, pa.string())], names=["s", "g"])
-
-
-def _score(batches):
-    for b in batches:
-        out = []
-        for sa, sb, na, nb, ca, cb in zip(*(c.to_pylist() for c in b.columns)):
-            score = name_likeness(na.split(" "), nb.split(" "))
-            if score >= LINK and (ca or cb):
-                score *= company_likeness(ca.split(" "), cb.split(" ")) ** 0.5
-            out.append(score)
-        keep = np.array(out) >= LINK
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), pa.array(np.array(out)[keep], pa.float64())], names=["a", "b", "score"])
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the spellings ``classes`` (s, org, name, company): every pair of one org with cosine at least
-    ``COSINE``, and those below it that the n-grams sent cannot rule out."""
-    feats = cut(classes.select("s", "name").mapInArrow(_vectors, "s long, g string"))
-    total = classes.count()
-    weights = small(feats.groupBy("g").agg(F.log(F.lit(total + 1.0) / F.count("*")).alias("w"), F.count("*").alias("df")))
-    weighted = feats.join(weights, "g")
-    order = Window.partitionBy("s").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("s")
-    square = F.col("w") * F.col("w")
-    sent = weighted.withColumns({"norm": F.sum(square).over(whole), "passed": F.coalesce(F.sum(square).over(order), F.lit(0.0))})
-    # Of two prefixes one ends first, and all its n-grams that the other sends too are met. What is missing is its unsent
-    # rest with what the other holds behind the last n-gram that both send.
-    after = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("passed") + square) / F.col("norm")))
-    prefix = sent.where(F.col("norm") - F.col("passed") > COSINE * COSINE * F.col("norm") - 1e-9).withColumn("after", after)
-    prefix = prefix.select("s", "g", *[c.cast("float").alias(n) for n, c in {"x": F.col("w") / F.sqrt("norm"), "after": F.col("after"), "rest": F.min("after").over(whole)}.items()])
-    keyed = prefix.join(classes.select("s", "org"), "s")
-    left = keyed.select(F.col("s").alias("a"), "g", "org", F.col("x").alias("xa"), F.col("after").alias("fa"), F.col("rest").alias("ra"))
-    right = keyed.select(F.col("s").alias("b"), "g", "org", F.col("x").alias("xb"), F.col("after").alias("fb"), F.col("rest").alias("rb"))
-    more = F.min(F.greatest(F.col("ra") * F.col("fb"), F.col("rb") * F.col("fa"))).alias("more")
-    shared = left.join(right, ["org", "g"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), more)
-    return shared.where(F.col("dot") + F.col("more") >= COSINE - SLACK).select("a", "b")
+            texts = [" ".join(clean(v)) for v in b.column(1).to_pylist()]
+            keep = pa.array([bool(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array([t for t in texts if t], pa.string())], names=["v", "clean"])
 
+    return run
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b, score) of the spellings ``classes`` (s, org, name, company) that may be one person, a < b."""
-    met = candidates(classes)
-    one = classes.select(F.col("s").alias("a"), F.col("name").alias("na"), F.col("company").alias("ca"))
-    two = classes.select(F.col("s").alias("b"), F.col("name").alias("nb"), F.col("company").alias("cb"))
-    return met.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_score, "a long, b long, score double")
 
+def _vectors(vector):
+    def run(batches):
+        for b in batches:
+            ids, feats, counts = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = vector(text.split(" "))
+                ids += [i] * len(v)
+                feats += v.keys()
+                counts += v.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(feats, pa.string()), pa.array(counts, pa.float64())], names=["s", "g", "k"])
 
-def components(edges: DataFrame) -> DataFrame:
-    """(s, component) of the nodes of ``edges`` (a, b): smallest label of neighbours, then of the label's node, until stable."""
-    both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    labels = cut(both.groupBy(F.col("x").alias("s")).agg(F.least(F.min("y"), F.first("x")).alias("c")))
-    while True:
-        near = both.join(labels, both.y == labels.s).groupBy("x").agg(F.min("c").alias("n"))
-        step = labels.join(near, labels.s == near.x).select("s", F.least("c", "n").alias("m"), F.col("c").alias("old"))
-        ahead = step.select(F.col("s").alias("t"), F.col("m").alias("tm"))
-        jumped = cut(step.join(ahead, step.m == ahead.t).select("s", F.least("m", "tm").alias("c"), "old"))
-        done = jumped.where("c <> old").isEmpty()
-        labels = jumped.select("s", F.col("c").alias("component") if done else "c")
-        if done:
-            return labels
+    return run
 
 
-def average_linkage(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one component's links (a, b, score): merge the closest pair of clusters while the average score over all
-    their pairs, 0 for those without a link, is at least ``LINKAGE``. Ties go to the smaller ids.
+def words_apart(spelt: DataFrame) -> DataFrame:
+    """``spelt`` (s, block, name) with column words: the name's main words, a single one taken apart into two words of other
+    names where there are such: of several ways the one whose rarer word is most frequent, then the earliest."""
+
+    def split(batches):
+        for b in batches:
+            at, heads, tails = [], [], []
+            for i, w in enumerate(b.column(1).to_pylist()):
+                for n in range(3, len(w) - 2):
+                    at.append(i)
+                    heads.append(w[:n])
+                    tails.append(w[n:])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(heads, pa.string()), pa.array(tails, pa.string())], names=["s", "head", "tail"])
+
+    def main(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([" ".join(main_words(n.split(" "))) for n in b.column(2).to_pylist()], pa.string())], names=["s", "block", "name", "words"])
+
+    named = spelt.mapInArrow(main, "s long, block string, name string, words string")
+    known = named.where("words like '% %'").select(F.explode(F.split("words", " ")).alias("w")).where("length(w) > 2").groupBy("w").agg(F.count("*").alias("n"))
+    known = small(cut(known))
+    ways = named.where("words not like '% %' and length(words) >= 6").select("s", "words").mapInArrow(split, "s long, head string, tail string")
+    ways = ways.join(known.select(F.col("w").alias("head"), F.col("n").alias("hn")), "head").join(known.select(F.col("w").alias("tail"), F.col("n").alias("tn")), "tail")
+    best = ways.groupBy("s").agg(F.min(F.struct((-F.least("hn", "tn")).alias("r"), F.length("head").alias("l"), F.concat_ws(" ", "head", "tail").alias("apart"))).getField("apart").alias("apart"))
+    return named.join(best, "s", "left").select("s", "block", "name", F.coalesce("apart", "words").alias("words"))
+
+
+def cosine_links(rows: DataFrame, vector, least: float) -> DataFrame:
+    """(a, b, score), a < b: all pairs of the ``rows`` (s, block, words) of one block with exact cosine at least ``least``."""
+    feats = cut(rows.select("s", "words").mapInArrow(_vectors(vector), "s long, g string, k double"))
+    total = rows.count()
+    weights = small(cut(feats.groupBy("g").agg(F.log(F.lit(total + 1.0) / F.count("*")).alias("w"), F.count("*").alias("df"))))
+    whole = Window.partitionBy("s")
+    square = F.col("x") * F.col("x")
+    vectors = feats.join(weights, "g").withColumn("x", F.col("k") * F.col("w")).withColumn("x", F.col("x") / F.sqrt(F.sum(square).over(whole)))
+    vectors = cut(vectors.where("x > 0").join(rows.select("s", "block"), "s").select("s", "block", "g", "df", "x"))
+    # Rarest first; of two prefixes one ends first, and all its n-grams that the other sends too are met. What is missing
+    # is its unsent rest with what the other holds behind the last n-gram that both send.
+    order = whole.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
+    sent = vectors.withColumn("left", F.lit(1.0) - F.coalesce(F.sum(square).over(order), F.lit(0.0)))
+    prefix = sent.where(F.col("left") > least * least - 1e-9).withColumn("after", F.sqrt(F.greatest(F.lit(0.0), F.col("left") - square)))
+    prefix = prefix.select("s", "block", "g", F.col("x").cast("float").alias("x"), F.col("after").cast("float").alias("after"), F.min("after").over(whole).cast("float").alias("rest"))
+    side = lambda n: prefix.select("block", "g", F.col("s").alias(n), F.col("x").alias(f"x{n}"), F.col("after").alias(f"f{n}"), F.col("rest").alias(f"r{n}"))
+    more = F.min(F.greatest(F.col("ra") * F.col("fb"), F.col("rb") * F.col("fa"))).alias("more")
+    shared = side("a").join(side("b"), ["block", "g"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), more)
+    met = cut(shared.where(F.col("dot") + F.col("more") >= least - ROUNDING).select("a", "b"))
+    one, two = vectors.select(F.col("s").alias("a"), "g", F.col("x").alias("xa")), vectors.select(F.col("s").alias("b"), "g", F.col("x").alias("xb"))
+    exact = met.join(one, "a").join(two, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("score"))
+    return exact.where(F.col("score") >= least)
+
+
+def average_linkage(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Clusters by the links (a, b, score): merge the closest pair of clusters while the average score over all their pairs,
+    0 for those without a link, is at least ``least``. Ties go to the smaller ids. Components do not touch each other, so
+    several can be given at once.
 
     With columns na and nb, a and b are clusters of so many spellings and score the sum over their pairs.
     """
+    least = round(least * UNITS)
     nodes = sorted(set(pdf.a) | set(pdf.b))
     at = {s: i for i, s in enumerate(nodes)}
     groups = {i: [i] for i in range(len(nodes))}
@@ -301,11 +317,11 @@ def average_linkage(pdf: pd.DataFrame) -> pd.DataFrame:
     if "na" in pdf:
         sizes |= {at[s]: n for s, n in zip(pdf.a, pdf.na)} | {at[s]: n for s, n in zip(pdf.b, pdf.nb)}
     # Entries of the heap are outdated once their total has changed.
-    heap = [(-total / (sizes[i] * sizes[j]), i, j, total) for i, row in between.items() for j, total in row.items() if i < j and total >= LEAST * sizes[i] * sizes[j]]
+    heap = [(-total / (sizes[i] * sizes[j]), i, j, total) for i, row in between.items() for j, total in row.items() if i < j and total >= least * sizes[i] * sizes[j]]
     heapq.heapify(heap)
     while heap:
         _, i, j, total = heapq.heappop(heap)
-        if i not in groups or between[i].get(j) != total or total < LEAST * sizes[i] * sizes[j]:
+        if i not in groups or between[i].get(j) != total or total < least * sizes[i] * sizes[j]:
             continue
         groups[i] += groups.pop(j)
         sizes[i] += sizes.pop(j)
@@ -314,19 +330,19 @@ def average_linkage(pdf: pd.DataFrame) -> pd.DataFrame:
             if k != i:
                 between[i][k] = between[k][i] = between[i].get(k, 0) + more
         for k, more in between[i].items():
-            if more >= LEAST * sizes[i] * sizes[k]:
+            if more >= least * sizes[i] * sizes[k]:
                 heapq.heappush(heap, (-more / (sizes[i] * sizes[k]), min(i, k), max(i, k), more))
     return pd.DataFrame([(nodes[m], nodes[min(g)]) for g in groups.values() for m in g], columns=["s", "cluster"]).astype("int64")
 
 
-def _merge_round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _merge_round(pairs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, merged): the clusters' links (a, b, na, nb, score) after all pairs that are the closest to each other have
     merged, and what became of every cluster (s, cluster, size).
 
     An average over two merged clusters is never above both averages before, so such a pair would also merge, unchanged,
     if the closest pair of all were merged first: the clusters are those of ``average_linkage``.
     """
-    close = pairs.where(F.col("score") >= LEAST * F.col("na") * F.col("nb"))
+    close = pairs.where(F.col("score") >= least * F.col("na") * F.col("nb"))
     rank = F.struct((-F.col("score") / (F.col("na") * F.col("nb"))).alias("far"), "a", "b")
     both = close.select(F.col("a").alias("s"), rank.alias("r")).unionByName(close.select(F.col("b").alias("s"), rank.alias("r")))
     best = both.groupBy("s").agg(F.min("r").alias("r"))
@@ -342,30 +358,49 @@ def _merge_round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(renamed.select(*[c.alias(n) for n, c in ends.items()], "score").groupBy(*ends).agg(F.sum("score").alias("score"))), merged
 
 
-def clusters(found: DataFrame, component_limit: int = COMPONENT_LIMIT) -> DataFrame:
-    """(s, cluster) of all spellings with links, by average linkage; ``component_limit`` does not change the result.
+def clusters(found: DataFrame, least: float, component_limit: int = COMPONENT_LIMIT) -> DataFrame:
+    """(s, cluster) of all spellings with links (a, b, score), by average linkage; ``component_limit`` does not change the
+    result.
 
-    Two clusters merge only if some link between them reaches ``LINKAGE``, so the components of such links are apart, each
+    Two clusters merge only if some link between them reaches ``least``, so the components of such links are apart, each
     with all its links. Components above the limit merge in rounds over the whole table until they fall into smaller ones.
     """
+    floor = round(least * UNITS)
     pairs = cut(found.select("a", "b", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"), F.round(F.col("score") * UNITS).cast("long").alias("score")))
-    placed = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().select("s", F.col("s").alias("cluster"))
-    ready = []
+    placed = cut(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("s")), F.struct(F.col("b").alias("s"))))).distinct().select("s", F.col("s").alias("cluster")))
     while True:
-        labelled = components(pairs.where(F.col("score") >= LEAST * F.col("na") * F.col("nb")))
-        one, two = labelled.select(F.col("s").alias("a"), "component"), labelled.select(F.col("s").alias("b"), F.col("component").alias("other"))
+        close = pairs.where(F.col("score") >= floor * F.col("na") * F.col("nb"))
+        ends = close.select(F.inline(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))).distinct()
+        labelled = cut(components(ends, close.select(F.col("a").alias("from_user_id"), F.col("b").alias("to_user_id"))))
+        one, two = labelled.select(F.col("id").alias("a"), "component"), labelled.select(F.col("id").alias("b"), F.col("component").alias("other"))
         tagged = cut(pairs.join(one, "a").join(two, "b").where("component = other").drop("other"))
-        big = labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > component_limit).select("component")
-        if big.isEmpty():
-            ready.append(tagged)
-            break
-        ready.append(tagged.join(big, "component", "left_anti"))
-        pairs, merged = _merge_round(tagged.join(big, "component", "left_semi").drop("component"))
+        big = cut(labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > component_limit).select("component"))
+        none = big.isEmpty()
+        ready = tagged if none else tagged.join(big, "component", "left_anti")
+        # So many tasks whatever the size in bytes: the work is per link.
+        spread = ready.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component").sortWithinPartitions("component")
+        placed = _follow(placed, spread.mapInPandas(_linked(least), "s long, cluster long"))
+        if none:
+            return placed
+        pairs, merged = _merge_round(tagged.join(big, "component", "left_semi").drop("component"), floor)
         placed = _follow(placed, merged)
-    for part in ready:
-        got = part.groupBy("component").applyInPandas(lambda pdf: average_linkage(pdf[["a", "b", "na", "nb", "score"]]), "s long, cluster long")
-        placed = _follow(placed, got)
-    return placed
+
+
+def _linked(least: float):
+    """Average linkage of the components in a partition sorted by them, as many whole ones at once as a batch holds."""
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = pdf.component == pdf.component.iloc[-1] if len(pdf) else pdf.component == 0
+            held = pdf[last]
+            if not last.all():
+                yield average_linkage(pdf[~last], least)
+        if held is not None and len(held):
+            yield average_linkage(held, least)
+
+    return run
 
 
 def _follow(placed: DataFrame, merged: DataFrame) -> DataFrame:
@@ -374,17 +409,56 @@ def _follow(placed: DataFrame, merged: DataFrame) -> DataFrame:
     return cut(placed.join(to, F.col("cluster") == F.col("was"), "left").select("s", F.coalesce("now", "cluster").alias("cluster")))
 
 
+def _aligned(score):
+    def run(batches):
+        for b in batches:
+            scores = [score(x.split(" "), y.split(" ")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            keep = pa.array([s >= LINK for s in scores], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(scores, pa.float64()).filter(keep)], names=["a", "b", "score"])
+
+    return run
+
+
+def linked(rows: DataFrame, vector, least: float, score, component_limit: int) -> DataFrame:
+    """(s, cluster) of the ``rows`` (s, block, text, words) that have a variant: cosine links of the words, average linkage,
+    then the links within clusters checked by ``score`` of the texts and what fails on average split off."""
+    links = cut(cosine_links(rows, vector, least))
+    found = clusters(links, least, component_limit)
+    one, two = found.select(F.col("s").alias("a"), F.col("cluster").alias("ca")), found.select(F.col("s").alias("b"), F.col("cluster").alias("cb"))
+    within = links.join(one, "a").join(two, "b").where("ca = cb").select("a", "b")
+    texts = rows.select("s", "text")
+    paired = within.join(texts.withColumnsRenamed({"s": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"s": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    return clusters(paired.mapInArrow(_aligned(score), "a long, b long, score double"), CHECKED, component_limit)
+
+
+def blocks(companies: DataFrame, canonical: DataFrame, broadcast_limit: int = BROADCAST_LIMIT, component_limit: int = COMPONENT_LIMIT) -> DataFrame:
+    """(company, block): the organisation each of the ``companies`` (company, n) means, in the canonical list or else by
+    likeness to others; none for texts that name no organisation."""
+    known = cut(mapped(companies.select(F.lit("company").alias("field"), F.col("company").alias("v"), "n"), usable(canonical, ["company"]), broadcast_limit))
+    listed = known.where("ref_id <> 0").select(F.col("v").alias("company"), F.concat(F.lit("listed "), F.col("ref_id").cast("string")).alias("block"))
+    firms = cut(known.where("ref_id = 0").select("v", F.col("v").alias("w")).mapInArrow(_cleaned(company_tokens), "v string, clean string"))
+    distinct = cut(firms.select(F.lit("").alias("block"), F.col("clean").alias("text")).distinct().withColumn("s", F.monotonically_increasing_id()))
+    grouped = linked(distinct.withColumn("words", F.col("text")), company_vector, COMPANY_COSINE, company_likeness, component_limit)
+    named = distinct.join(grouped, "s", "left").select(F.col("text").alias("clean"), F.concat(F.lit("other "), F.coalesce("cluster", "s").cast("string")).alias("block"))
+    return listed.unionByName(firms.join(named, "clean").select(F.col("v").alias("company"), "block"))
+
+
 def same_person(profiles: DataFrame, canonical: DataFrame, broadcast_limit: int = BROADCAST_LIMIT, component_limit: int = COMPONENT_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(members: user_id, person), and the spellings behind them: who is the same person at the same organisation.
 
     Accounts without a name or company, or with a company that names no organisation, are left out. Repeated rows count
     once. Equal spellings are one person; person is an id without meaning.
     """
-    accounts = cut(spellings(profiles, canonical, broadcast_limit))
-    tagged = cut(accounts.select("org", "name", "company").distinct().withColumn("s", F.xxhash64("org", "name", "company")))
-    grouped = clusters(links(tagged))
-    placed = tagged.join(grouped.withColumnRenamed("s", "gs"), tagged.s == F.col("gs"), "left").select("org", "name", "company", F.coalesce("cluster", "s").alias("person"))
-    return accounts.join(placed, ["org", "name", "company"]).select("user_id", "person").distinct(), tagged
+    rows = profiles.select(F.col("user_id").cast("long").alias("user_id"), F.col("name").alias("typed"), "company")
+    rows = cut(rows.where("user_id is not null and typed is not null and company is not null").distinct())
+    block = cut(blocks(rows.groupBy("company").agg(F.count("*").alias("n")), canonical, broadcast_limit, component_limit))
+    name = cut(rows.select("typed", F.col("typed").alias("w")).distinct().mapInArrow(_cleaned(name_tokens), "v string, clean string"))
+    accounts = cut(rows.join(small(block), "company").join(name, F.col("typed") == F.col("v")).select("user_id", "block", F.col("clean").alias("name")).distinct())
+    spelt = cut(accounts.select("block", "name").distinct().withColumn("s", F.monotonically_increasing_id()))
+    worded = cut(words_apart(spelt.select("s", "block", "name")).select("s", "block", F.col("name").alias("text"), "words"))
+    grouped = linked(worded, name_vector, COSINE, name_likeness, component_limit)
+    placed = spelt.join(grouped, "s", "left").select("block", "name", F.coalesce("cluster", "s").alias("person"))
+    return accounts.join(placed, ["block", "name"]).select("user_id", "person").distinct(), spelt
 
 
 def account_pairs(members: DataFrame) -> DataFrame:

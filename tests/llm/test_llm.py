@@ -164,50 +164,60 @@ def test_no_names(spark):
     assert names.account_pairs(members).count() == 0
 
 
-def test_candidates_hold_all_pairs_above_the_cosine(spark):
+def test_cosine_links_are_all_pairs_above_the_cosine(spark):
     import math
 
     rnd = random.Random(5)
     part = lambda: "".join(rnd.choice("aeiou" if k % 2 else "bdklmnrst") for k in range(rnd.randrange(3, 8)))
     firsts, lasts = [part() for _ in range(40)], [part() for _ in range(40)]
-    people = sorted({f"{rnd.choice(firsts)} {rnd.choice(lasts)}" for _ in range(300)})
-    rows = [(i, i % 2, name, "") for i, name in enumerate(people)]
-    vectors = [set(names.grams(name.split(" "))) for name in people]
+    people = sorted({f"{rnd.choice(firsts)} {rnd.choice(lasts)}" for _ in range(300)}) + ["bob", "bob lee", "b lee"]
+    rows = [(i, str(i % 2), name) for i, name in enumerate(people)]
+    vectors = [names.name_vector(name.split(" ")) for name in people]
     df = {}
     for v in vectors:
         for g in v:
             df[g] = df.get(g, 0) + 1
-    w = {g: math.log((len(people) + 1) / n) for g, n in df.items()}
-    norm = [math.sqrt(sum(w[g] ** 2 for g in v)) for v in vectors]
-    cosine = {(a, b): sum(w[g] ** 2 for g in vectors[a] & vectors[b]) / norm[a] / norm[b] for a in range(len(people)) for b in range(a + 1, len(people)) if a % 2 == b % 2}
-    found = [tuple(r) for r in names.candidates(spark.createDataFrame(rows, "s long, org long, name string, company string")).collect()]
-    assert {p for p, c in cosine.items() if c >= names.COSINE} <= set(found) and len(found) == len(set(found)) < len(cosine)
+    weigh = lambda v: {g: k * math.log((len(people) + 1) / df[g]) for g, k in v.items()}
+    vectors = [weigh(v) for v in vectors]
+    norm = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    dot = lambda a, b: sum(x * b.get(g, 0.0) for g, x in a.items())
+    cosine = {(a, b): dot(vectors[a], vectors[b]) / norm[a] / norm[b] for a in range(len(people)) for b in range(a + 1, len(people)) if a % 2 == b % 2}
+    got = {(r.a, r.b): r.score for r in names.cosine_links(spark.createDataFrame(rows, "s long, block string, words string"), names.name_vector, 0.2).collect()}
+    want = {p: c for p, c in cosine.items() if c >= 0.2}
+    assert got == pytest.approx(want) and 100 < len(want) < len(cosine)
+
+
+def test_joined_names_are_taken_apart_by_other_names(spark):
+    rows = [(1, "x", "beatricelomander"), (2, "x", "beatrice trovalen"), (3, "y", "harold lomander"), (4, "y", "lomanderx"), (5, "y", "j r smith"), (6, "y", "ann b smith")]
+    got = {r.s: r.words for r in names.words_apart(spark.createDataFrame(rows, "s long, block string, name string")).collect()}
+    assert got == {1: "beatrice lomander", 2: "beatrice trovalen", 3: "harold lomander", 4: "lomanderx", 5: "smith j", 6: "ann smith"}
 
 
 def test_average_linkage_needs_the_average():
     import pandas as pd
 
     chain = pd.DataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9)], columns=["a", "b", "score"])
-    groups = names.average_linkage(chain).groupby("cluster").s.apply(set).tolist()
+    groups = names.average_linkage(chain, 0.6).groupby("cluster").s.apply(set).tolist()
     assert groups == [{1, 2}, {3, 4}]
 
 
 def test_large_components_are_split_by_their_weakest_links(spark):
     links = spark.createDataFrame([(i, i + 1, 0.95 if i % 2 else 0.65) for i in range(1, 20)], "a long, b long, score double")
-    got = {r.s: r.cluster for r in names.clusters(links, component_limit=4).collect()}
+    got = {r.s: r.cluster for r in names.clusters(links, 0.6, component_limit=4).collect()}
     assert all(got[i] == got[i + 1] for i in range(1, 20, 2))
 
+
 def test_clusters_do_not_depend_on_the_component_limit(spark):
     import pandas as pd
 
     rnd = random.Random(3)
     rows = [(1000, 1001, 0.95), (1000, 1002, 0.9), (1001, 1002, 0.45), (1002, 1003, 0.41)]
     rows += [(a, b, rnd.choice([0.4, 0.45, 0.57, 0.6, 0.65, 0.8, 0.8, 0.9, 0.95])) for a in range(10) for b in range(a + 1, 10) if a // 5 == b // 5 or rnd.random() < 0.1]
-    want = {r.s: r.cluster for r in names.average_linkage(pd.DataFrame(rows, columns=["a", "b", "score"])).itertuples()}
+    want = {r.s: r.cluster for r in names.average_linkage(pd.DataFrame(rows, columns=["a", "b", "score"]), 0.6).itertuples()}
     links = spark.createDataFrame(rows, "a long, b long, score double")
     assert want[1000] == want[1001] == want[1002] != want[1003]
     for limit in (1000, 3):
-        assert {r.s: r.cluster for r in names.clusters(links, component_limit=limit).collect()} == want
+        assert {r.s: r.cluster for r in names.clusters(links, 0.6, component_limit=limit).collect()} == want
 
 
 # Sentences
