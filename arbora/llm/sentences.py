@@ -1,24 +1,45 @@
 """Sentence boundaries across languages and scripts.
 
 A text is cut at blank lines and around list lines; what lies between is scanned once for marks, quotes, brackets, emoji
-and gaps of spaceless scripts, with a stack of what is open.
-
-* **Spaced scripts** are treated by a *terminator lattice*: every mark is a node with the readings abbreviation, initial,
-  number, ordinal, name, pause and end, and the words on either side, the case of the passage and the open quotes decide
-  which reading holds. Marks inside quotes or brackets never split; the reading of a quote's last mark is made at its end.
-* **Spaceless scripts** are segmented by a *dictionary word lattice* (cheapest path over known words and unknown
-  letters). A gap between Thai words ends a sentence unless a number or repetition mark stands beside it; where no gap
-  is written, a final particle followed by an opening word is one. After a CJK quote the first words of the
-  path decide whether the sentence goes on (a quoting particle, a verb of saying).
-
-The result is a function of the text alone: language columns are often wrong and are not read.
+and gaps of spaceless scripts. One pass pairs quotes and brackets, and nothing inside a pair splits.
+
+* **Spaced scripts** are treated by a *terminator lattice*: every mark is a node with the readings end, abbreviation,
+  title, number, initial, name, pause and joined word, each at a cost that the words on either side, the case of the
+  passage and the sentence begun so far decide; the cheapest path through all marks of the block gives the ends.
+* **Spaceless scripts** are segmented by a *dictionary word lattice* (cheapest path over known words and unknown letters).
+  Thai words, and the words that open a run, are counted over the whole corpus (``learn``); Chinese and Japanese words come
+  from a public vocabulary file. A gap between Thai words ends a sentence unless a number or repetition mark stands beside
+  it; where no gap is written, a final particle followed by an opening word is one. After a Chinese or Japanese quote the
+  words of the clause decide whether the sentence goes on (a quoting particle, a verb of saying).
+
+Given the lexicon, the result is a function of the text alone: language columns are often wrong and are not read. Time is
+linear in the length of a text.
 """
 
 from __future__ import annotations
 
+import base64
+import os
+from dataclasses import dataclass, field
+from functools import lru_cache
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from arbora.runtime import cut
+
+#: Public vocabulary whose Chinese and Japanese words are the dictionary; without the file single letters are.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Letters of the longest word counted, occurrences a word needs, and words that are kept, the most frequent first.
+LONGEST, SEEN, WORDS = 8, 5, 50_000
+#: A word opens sentences if it begins at least this share of its runs.
+OPENS = 0.2
+#: Share of a word's occurrences that must begin a line or follow a mark for it to open sentences.
+STARTS = 0.1
+#: Letters of the longest listed abbreviation: a longer word is none.
+WORD_LETTERS = 24
 
 # Abbreviations behind which a sentence never ends.
 BEFORE_NAME = set("mr mrs ms dr dra prof st ft mt sr sra srta ud uds av avda hr fr fa sté mme mlle ste rev gen col sgt capt lic ing don doña gov sen rep hon pres".split())
@@ -34,26 +55,21 @@ ORDINAL = set("am im der die das den dem des vom zum zur beim ab bis seit".split
 FILE_ENDINGS = set("exe txt pdf com org net html htm php py js zip jpg png csv json xml doc docx md io de fr es".split())
 # Words that open a sentence, for passages whose case says nothing.
 OPENERS = set(
-    "the it i we my our you he she they this that these those there is are what how why who whoever which has have could do does did no not very mine for after"
-    " out see some used setup even honestly well two works version compare your its an el la los las lo una por mi se le les je il elle c'est pour mon ma"
-    " ich wir ein eine für auch leider near on-day when as if".split()
+    "the it i we my our you he she they this that these those there is are what how why who whoever which has have could do does did no not very after"
+    " el la los las lo una por mi se le les je il elle c'est pour mon ma ich wir ein eine für auch leider when as if".split()
 )
 # Verbs of saying and quoting particles that follow a quote.
 CJK_QUOTING = ("と", "って", "という", "の", "は", "が", "を", "に", "で", "も", "だ", "です")
 CJK_SAYING = ("说", "說", "道", "喊", "问", "問", "叫", "答", "言", "嚷", "骂", "写", "寫", "想", "叹", "嘆")
-# Common Thai words for the lattice: final particles, openers, others.
+# Thai final particles; behind the polite ones a sentence can end without a gap.
 THAI_FINAL = set("ค่ะ คะ ครับ ครับผม นะคะ นะครับ นะ จ้ะ จ้า เลย แล้ว".split())
 THAI_POLITE = set("ค่ะ คะ ครับ ครับผม นะคะ นะครับ จ้ะ จ้า".split())
-THAI_OPEN = set("สี ราคา น้ำหนัก ใช้ เทียบ ใน ไม่ ส่ง ที่ คุ้ม เบา ทำไม ร้าน ได้ ผิดหวัง แบตเตอรี่ ปุ่ม ฝา หูจับ ซิป งาน เมื่อ แต่ และ ถ้า ฉัน ผม เรา มัน นี่ นี้ คุณ".split())
-THAI_WORDS = THAI_FINAL | THAI_OPEN | set("มาก จริง ดี ง่าย เวลา วัน ชิ้น รุ่น ก่อน ซื้อ ประมาณ กิโล บาท ถือว่า บ้าน ชอบ กัน ทุก คน ตรง กับ รูป กล่อง มี ส่วน อีก จะ ค่า ไว แพ็ก ตัว ขอ คืน เงิน แนะนำ".split())
 
 MARKS = ".!?…。！？．؟।॥۔‼⁇⁈⁉"
 STRONG_CJK = "。！？．"
 OPEN = "«„“「『《〈【（([{‹"
 CLOSE = {"»": "«", "”": "“„", "“": "„", "」": "「", "』": "『", "》": "《", "〉": "〈", "】": "【", "）": "（", ")": "(", "]": "[", "}": "{", "›": "‹"}
 ROUND = "（([{【"
-#: An opened quote or bracket counts only if it is closed within so many characters of the same block.
-REACH = 1000
 EMOTICON = r"(?:[:;=]-?[)(DPp/|*]|\([ynYN]\)|<3|\^[_.]?\^|[xX]D\b|¯\\_\(ツ\)_/¯)"
 EMOJI = r"(?:\p{RI}\p{RI}|[\p{Extended_Pictographic}--[0-9#*©®™]][‍️\p{Emoji_Modifier}\p{Extended_Pictographic}]*)"
 TRAIL = regex.compile(rf"(?V1)(?:[ \t 　]*(?:{EMOJI}|(?<![\w:]){EMOTICON}))+")
@@ -65,12 +81,15 @@ SPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0
 _TRIM = regex.compile(rf"[{SPACE}]+")
 _BLANK = regex.compile(rf"[^\S\n]*[﻿]*")
 _BULLET = regex.compile(r"[^\S\n\r]*(?:[-*•‣◦▪–—·+]\s+\S|・|[①-⑳]|[(（]?\d{1,3}[、．）]\s*\S|(\d{1,3})[.)]\s+\S)")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]*$")
+_WORDISH = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]+")
 _AFTER_CJK = regex.compile(r"[^\p{Han}\p{Hiragana}\p{Katakana}ー]+$|[\p{Han}\p{Hiragana}\p{Katakana}ー]?$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’]+")
 _NEXT = regex.compile(rf"([{SPACE}]*)(.?)", regex.S)
 _LETTER = regex.compile(r"\p{L}")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
+_CLAUSE = regex.compile(r"[^。！？!?\n「『“«„（(]*")
+_PICTURE = regex.compile(rf"(?V1){EMOJI}|[\u200d\ufe0f\p{{Emoji_Modifier}}]")
+_BEHIND = SPACE + "\"'»”“’)]）」』"
 _CASELESS = regex.compile(r"[\p{Arabic}\p{Hebrew}\p{Devanagari}\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
@@ -88,235 +107,331 @@ def word_path(text: str, words: set[str], longest: int = 14) -> list[str]:
     return path[::-1]
 
 
-def thai_joints(run: str) -> list[int]:
-    """Offsets in a Thai run without gaps where a polite final particle is followed by an opening word."""
-    if not any(p in run for p in ("ครับ", "คะ", "ค่ะ", "จ้")):
-        return []
-    path, at, out = word_path(run, THAI_WORDS), 0, []
-    for w, following in zip(path, [*path[1:], ""]):
-        at += len(w)
-        if w in THAI_POLITE and following in THAI_OPEN:
-            out.append(at)
-    return out
+@dataclass(frozen=True)
+class Lexicon:
+    """What the lattices know: Thai words, Thai words that open a run, words written with an exclamation mark, and words of
+    spaced scripts that open sentences."""
+
+    thai: frozenset = field(default_factory=frozenset)
+    openers: frozenset = field(default_factory=frozenset)
+    exclaimed: frozenset = field(default_factory=frozenset)
+    starters: frozenset = field(default_factory=frozenset)
+
+    def opens(self, word: str) -> bool:
+        """Whether a word of a spaced script tells that a sentence begins."""
+        return word.lower() in OPENERS or word.lower() in self.starters
+
+    def thai_joints(self, run: str) -> list[int]:
+        """Offsets in a Thai run without gaps where a polite final particle is followed by an opening word."""
+        if not any(p in run for p in THAI_POLITE):
+            return []
+        path, at, out = word_path(run, self.thai | THAI_FINAL), 0, []
+        for w, following in zip(path, [*path[1:], ""]):
+            at += len(w)
+            if w in THAI_POLITE and following not in THAI_FINAL and any(following.startswith(o) or run.startswith(o, at) for o in (following[:n] for n in range(2, len(following) + 1)) if o in self.openers):
+                out.append(at)
+        return out
+
+
+@lru_cache(maxsize=2)
+def cjk_words(path: str) -> frozenset:
+    """Words of two and more Chinese or Japanese letters in a vocabulary file; none without the file."""
+    if not os.path.exists(path):
+        return frozenset()
+    found = set()
+    with open(path, "rb") as f:
+        for line in f:
+            try:
+                word = base64.b64decode(line.split()[0]).decode().strip()
+            except (ValueError, IndexError):
+                continue
+            if len(word) > 1 and regex.fullmatch(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+", word):
+                found.add(word)
+    return frozenset(found)
+
+
+#: A reading that cannot hold.
+NEVER = 9.0
 
 
 class Block:
     """The sentences of one block: no blank line and no list line within."""
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, lexicon: Lexicon):
+        self.text, self.lexicon = text, lexicon
         latin = [c for c in text if c.isalpha() and (c.islower() or c.isupper())]
         upper = sum(c.isupper() for c in latin)
         self.cased = bool(latin) and 0 < upper < 0.7 * len(latin)
-        self.cuts: list[int] = []
-        self.start = 0
+        # Word before each position, found as the marks come in order.
+        self.words = [m.span() for m in _WORDISH.finditer(text)]
+        self.reached = 0
 
     def first(self, at: int) -> int:
         m = _TRIM.match(self.text, at)
         return m.end() if m else at
 
     def sentences(self) -> list[tuple[int, int]]:
-        text, stack, last_mark, skip = self.text, [], -1, 0
-        self.start = self.first(0)
-        for m in TOKEN.finditer(text):
-            kind, at, end = m.lastgroup, m.start(), m.end()
-            if at < skip:
-                continue
-            if kind == "face":
+        text = self.text
+        tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+        partner = self.paired(tokens)
+        # Hypotheses (cost, begin of the open sentence, ends so far as a chain): the last node an end, or not.
+        best = [(0.0, self.first(0), None)]
+        last_mark, skip, depth = -1, 0, 0
+        for n, (kind, at, end) in enumerate(tokens):
+            if at < skip or kind == "face":
                 continue
             if kind == "thai":
-                if not stack:
-                    for joint in thai_joints(m.group()):
-                        self.cut(at + joint)
+                if not depth:
+                    for joint in self.lexicon.thai_joints(text[at:end]):
+                        best = self.step(best, at + joint, lambda start: (0.0, NEVER))
                 continue
             if kind == "gap":
-                if not stack:
-                    skip = self.gap(at, end) or skip
+                if not depth and self.gap(at, end):
+                    best = self.step(best, at, lambda start: (0.0, NEVER))
                 continue
             if kind in ("straight", "open", "close"):
-                char = m.group()
-                if kind == "straight":
-                    closing = bool(stack) and stack[-1][0] == '"'
-                elif char == "“":
-                    closing = bool(stack) and stack[-1][0] == "„"
-                else:
-                    closing = kind == "close"
-                if not closing:
-                    if kind != "close" and self.closed_later(char, end):
-                        stack.append((char, at))
+                if n not in partner:
                     continue
-                partner = char if kind == "straight" else CLOSE[char]
-                found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in partner), None)
-                if found is None:
+                if partner[n] > n:
+                    depth += 1
                     continue
-                opened = stack[found][1]
-                del stack[found:]
-                inner = last_mark >= opened and not text[last_mark:at].strip(SPACE)
-                if inner:
+                depth -= 1
+                opened = tokens[partner[n]][1]
+                if last_mark >= opened and not text[last_mark:at].strip(SPACE):
                     last_mark = end
-                    if not stack:
-                        skip = self.closed(char, opened, end) or skip
+                    if not depth:
+                        best = self.step(best, end, lambda start: self.closed(text[at], opened, end, start))
+                        skip = self.trail(end)
                 continue
             last_mark = end
-            if not stack:
-                skip = self.mark(m.group(), at, end) or skip
-        ends, out, s = [*self.cuts, len(text)], [], self.first(0)
-        for e in ends:
-            part = text[s:e]
-            stop = s + len(part.rstrip(SPACE))
+            if not depth:
+                best = self.step(best, end, lambda start: self.mark(text[at:end], at, end, start))
+                skip = self.trail(end)
+        chain, ends = min(best, key=lambda h: h[0])[2], [len(text)]
+        while chain:
+            ends.append(chain[0])
+            chain = chain[1]
+        out, s = [], self.first(0)
+        for e in reversed(ends):
+            stop = s + len(text[s:e].rstrip(SPACE))
             if stop > s:
                 out.append((s, stop))
-            s = self.first(e)
+            s = max(s, self.first(e))
         return out
 
-    def closed_later(self, char: str, end: int) -> bool:
-        closers = {'"': '"', "„": "“”", "“": "”", "«": "»", "‹": "›"}.get(char) or "".join(c for c, o in CLOSE.items() if char in o)
-        window = self.text[end : end + REACH]
-        return any(c in window for c in closers)
+    def step(self, best: list, at: int, readings) -> list:
+        """The hypotheses behind one more node: ``readings`` gives the costs of an end at ``at`` and of none."""
+        ended = within = None
+        for cost, start, chain in best:
+            end, none = readings(start)
+            if ended is None or cost + end < ended[0]:
+                stop = self.trail(at)
+                ended = (cost + end, self.first(stop), (stop, chain))
+            if within is None or cost + none < within[0]:
+                within = (cost + none, start, chain)
+        return [ended, within]
+
+    def paired(self, tokens: list) -> dict[int, int]:
+        """Tokens of quotes and brackets by their partner, in one pass; what has none is left out.
+
+        A closer takes the nearest opener of its kind, and openers in between stay without partner.
+        """
+        text, stack, open_now, out = self.text, [], dict.fromkeys([*OPEN, '"'], 0), {}
+        for n, (kind, at, end) in enumerate(tokens):
+            if kind not in ("straight", "open", "close"):
+                continue
+            char = text[at]
+            if kind == "straight":
+                # A mark of inches opens nothing.
+                closing, fits = open_now['"'] > 0, '"'
+                if not closing and (at > 0 and text[at - 1].isalnum() or not text[end : end + 1].strip(SPACE)):
+                    continue
+            elif char == "“":
+                closing, fits = bool(stack) and stack[-1][0] == "„", "„"
+            else:
+                closing, fits = kind == "close", CLOSE.get(char, "")
+            if not closing:
+                stack.append((char, n))
+                open_now[char] += 1
+            elif any(open_now[c] for c in fits):
+                while stack:
+                    was, k = stack.pop()
+                    open_now[was] -= 1
+                    if was in fits:
+                        out[k], out[n] = n, k
+                        break
+        return out
 
-    def cut(self, at: int) -> int:
-        trail = TRAIL.match(self.text, at)
-        end = trail.end() if trail else at
-        self.cuts.append(end)
-        self.start = self.first(end)
-        return end
+    def trail(self, at: int) -> int:
+        m = TRAIL.match(self.text, at)
+        return m.end() if m else at
 
-    def gap(self, at: int, end: int) -> int:
-        """A written gap behind Thai letters."""
+    def gap(self, at: int, end: int) -> bool:
+        """Whether a written gap behind Thai letters ends a sentence."""
         before, after = self.text[at - 1], self.text[end : end + 1]
-        if not after or before in "ๆ" or before.isdigit() or after.isdigit() or after in MARKS or after in ")]»”,;:":
-            return 0
-        return self.cut(at)
-
-    def closed(self, char: str, opened: int, end: int) -> int:
-        """The quote or bracket from ``opened`` ended behind a mark."""
-        text, whole = self.text, opened <= self.start
-        face = TRAIL.match(text, end)
+        return bool(after) and before not in "ๆ" and not before.isdigit() and not after.isdigit() and after not in MARKS and after not in ")]»”,;:"
+
+    def closed(self, char: str, opened: int, end: int, start: int) -> tuple[float, float]:
+        """Costs behind a quote or bracket from ``opened`` that ended with a mark."""
+        text, whole = self.text, opened <= start
+        ends, goes_on = (0.2, 1.0), (1.0, 0.2)
+        face = self.trail(end) > end
         m = _NEXT.match(text, end)
-        gap, after = m.group(1), m.group(2)
+        gap, after, at = m.group(1), m.group(2), m.start(2)
         if not after or face:
-            return self.cut(end)
+            return ends
         if after in ",;:，、；：。.!?！？)]":
-            return 0
+            return goes_on
         if char in ")）]】}":
-            return self.cut(end) if whole else 0
+            return ends if whole else goes_on
         if _CJK.match(after):
-            if char in "」』" and any(text.startswith(q, m.start(2)) for q in CJK_QUOTING):
-                return 0
-            clause = regex.split(r"[。！？!?\n]", text[m.start(2) : m.start(2) + 40])[0]
             if char in "」』":
-                return self.cut(end) if whole else 0
+                return ends if whole and not any(text.startswith(q, at) for q in CJK_QUOTING) else goes_on
             if not whole:
-                return self.cut(end) if text[max(0, opened - 20) : opened].rstrip()[-1:] in ("：", ":") else 0
-            return 0 if any(w in CJK_SAYING for w in word_path(clause, set(CJK_SAYING))) else self.cut(end)
+                return ends if text[max(0, opened - 20) : opened].rstrip()[-1:] in ("：", ":") else goes_on
+            said = any(w in CJK_SAYING or w[-1] in CJK_SAYING and w[:-1] not in self.known_cjk and len(w) < 3 for w in self.clause(at))
+            return goes_on if said else ends
         if _CASELESS.match(after):
-            return 0 if gap else self.cut(end) if after not in MARKS and whole else 0
-        word = self.word(m.start(2))
-        opener = word.lower() in OPENERS
+            return ends if not gap and after not in MARKS and whole else goes_on
+        opener = self.lexicon.opens(self.word(at))
         if after.islower() or not self.cased and after.isalpha():
-            return self.cut(end) if not whole and opener else 0
-        return self.cut(end) if gap or not after.isdigit() else 0
+            return ends if not whole and opener else goes_on
+        return ends if gap or not after.isdigit() else goes_on
+
+    @property
+    def known_cjk(self) -> frozenset:
+        return cjk_words(VOCABULARY)
+
+    def clause(self, at: int) -> list[str]:
+        """Words of a Chinese or Japanese clause, up to the next mark or quote."""
+        m = _CLAUSE.match(self.text, at)
+        return word_path(m.group(), self.known_cjk)
 
     def word(self, at: int) -> str:
         m = _WORD.match(self.text, at)
         return m.group() if m else ""
 
-    def mark(self, mark: str, at: int, end: int) -> int:
-        """A run of marks outside all quotes and brackets: cut behind it, or 0."""
+    def before(self, at: int) -> tuple[str, str]:
+        """The word that ends at ``at`` ('' if none does, its last letters if it is longer than any listed) and the one before
+        it in lower case."""
+        while self.reached < len(self.words) and self.words[self.reached][0] < at:
+            self.reached += 1
+        k = self.reached - 1
+        # A run of word letters may go on behind the mark, which can be a dot within it.
+        if k < 0 or self.words[k][1] < at:
+            return "", ""
+        lo = max(self.words[k][0], at - WORD_LETTERS)
+        found = self.text[lo:at]
+        tail = _AFTER_CJK.search(found).group()
+        previous = ""
+        if k and lo == self.words[k][0] and tail == found and not self.text[self.words[k - 1][1] : lo].strip(SPACE):
+            a, b = self.words[k - 1]
+            previous = self.text[max(a, b - WORD_LETTERS) : b].lower()
+        return tail, previous
+
+    def mark(self, mark: str, at: int, end: int, start: int) -> tuple[float, float]:
+        """Costs of an end and of none at a run of marks outside all quotes and brackets."""
         text = self.text
         m = _NEXT.match(text, end)
-        gap, after = m.group(1), m.group(2)
+        gap, after, next_at = m.group(1), m.group(2), m.start(2)
         if not after:
-            return self.cut(end)
-        face = TRAIL.match(text, end)
+            return 0.0, NEVER
+        face = self.trail(end) > end
         if not face and (after in ",;:，、；：" or after in "-–" and not gap):
-            return 0
-        before = _AFTER_CJK.search(_WORD_BEFORE.search(text, max(0, at - 40), at).group()).group()
-        if "।" in mark or "॥" in mark or "؟" in mark or "۔" in mark or any(c in STRONG_CJK for c in mark):
-            return self.cut(end)
+            return NEVER, 0.0
+        if any(c in "।॥؟۔" or c in STRONG_CJK for c in mark):
+            return 0.0, NEVER
         if mark.strip(".…") == "" and (len(mark) > 1 or "…" in mark):
-            return self.pause(gap, after, m.start(2), end, face)
-        if "!" in mark or "?" in mark or mark[0] in "‼⁇⁈⁉":
-            if not gap and after.isdigit():
-                return 0
-            if mark == "!" and self.cased and gap and after.islower() and before[:1].isupper() and not before.isupper() and at - len(before) > self.start and self.word(m.start(2)).lower() not in OPENERS:
-                return 0
-            if mark == "!" and not self.cased and before.lower() in ("zing", "yahoo", "yum") and self.word(m.start(2)).lower() not in OPENERS:
-                return 0
-            return self.cut(end)
-        return self.period(before, gap, after, m.start(2), at, end, face)
-
-    def pause(self, gap: str, after: str, at: int, end: int, face) -> int:
-        if face and face.end() > end:
-            return self.cut(end)
+            return self.pause(gap, after, next_at, face)
+        before, previous = self.before(at)
+        word = self.word(next_at)
+        if mark[0] != "." or len(mark) > 1:
+            return self.exclamation(mark, before, gap, after, word, at - len(before) > start)
+        readings = self.readings(before, previous, gap, after, word, at, face)
+        return readings.pop("end"), min(readings.values(), default=NEVER)
+
+    def exclamation(self, mark: str, before: str, gap: str, after: str, word: str, inside: bool) -> tuple[float, float]:
+        """A mark that ends a sentence unless it belongs to a name or number."""
+        if not gap and after.isdigit():
+            return 1.0, 0.2
+        name = NEVER
+        if mark == "!" and word.lower() not in OPENERS:
+            if self.cased and gap and after.islower() and before[:1].isupper() and not before.isupper() and inside:
+                name = 0.4
+            elif not self.cased and before.lower() in self.lexicon.exclaimed:
+                name = 0.4
+        return 0.8, name
+
+    def pause(self, gap: str, after: str, at: int, face: bool) -> tuple[float, float]:
+        """Dots that end a sentence or mark a pause in it."""
+        opener = self.word(at).lower() in OPENERS - {"how", "the"}
+        if face:
+            return 0.0, 1.0
         if _CASELESS.match(after):
-            return self.cut(end) if gap and not _CJK.match(after) else 0
-        if after.isupper() and self.cased or after in "¿¡«„“\"(":
-            return self.cut(end)
-        return self.cut(end) if self.word(at).lower() in OPENERS - {"how", "the"} and gap and after.isupper() else 0
-
-    def period(self, before: str, gap: str, after: str, next_at: int, at: int, end: int, face) -> int:
-        text, word = self.text, self.word(next_at)
-        low = before.lower().strip("'’-")
-        glued = not gap
-        opener = word.lower() in OPENERS
-        starts = after.isupper() and self.cased or after in "¿¡«„“\"'(" or bool(_CASELESS.match(after))
-        if glued:
+            return (0.2, 1.0) if gap and not _CJK.match(after) else (1.0, 0.2)
+        starts = after.isupper() and self.cased or after in "¿¡«„“\"(" or opener and gap and after.isupper()
+        return (0.2, 1.0) if starts else (1.0, 0.2)
+
+    def readings(self, before: str, previous: str, gap: str, after: str, word: str, at: int, face: bool) -> dict[str, float]:
+        """Costs of the readings of a period."""
+        text, low = self.text, before.lower().strip("'’-")
+        opener, upper = self.lexicon.opens(word), after.isupper() and self.cased
+        starts = upper or after in "¿¡«„“\"'(" or bool(_CASELESS.match(after))
+        out = {"end": 1.0}
+        if not gap:
             if after.isdigit() or after in "-_/@°º%":
-                return self.cut(end) if after.isdigit() and low.isalpha() and len(low) > 3 and low not in BEFORE_NUMBER else 0
+                plain = after.isdigit() and low.isalpha() and len(low) > 3 and low not in BEFORE_NUMBER
+                return out | {"number": 2.0 if plain else 0.2}
             if face:
-                return self.cut(end)
-            if after.isalpha() and not _CASELESS.match(after):
-                if after.islower() or not self.cased:
-                    alone = low.isalpha() and len(low) > 2 and low not in BEFORE_WORD | BEFORE_NAME | BEFORE_NUMBER
-                    numbered = bool(regex.fullmatch(r"[\d.,]+", low)) and len(word) > 2
-                    dotted = low in MAY_END and "." in low and opener
-                    return self.cut(end) if (alone or numbered or dotted) and word.lower() not in FILE_ENDINGS and len(word) > 1 else 0
-        # readings of the word before the mark
-        near = text[max(0, at - len(before) - 40) : at - len(before)].rstrip()
-        previous = _WORD_BEFORE.search(near).group().lower() if before else ""
+                return {"end": 0.0}
+            if after.isalpha() and not _CASELESS.match(after) and (after.islower() or not self.cased):
+                alone = low.isalpha() and len(low) > 2 and low not in BEFORE_WORD | BEFORE_NAME | BEFORE_NUMBER
+                numbered = bool(regex.fullmatch(r"[\d.,]+", low)) and len(word) > 2
+                dotted = low in MAY_END and "." in low and opener
+                two = (alone or numbered or dotted) and word.lower() not in FILE_ENDINGS and len(word) > 1
+                if not two:
+                    out["joined"] = 0.5
+                elif not (low in MAY_END or low in COMPANY):
+                    return out
         if not before:
-            return self.cut(end)
+            return out
         if _CASELESS.match(before[-1]):
             letters = len(_LETTER.findall(before))
-            if regex.match(r"\p{Devanagari}", before[-1]) and letters <= 3 or letters == 1:
-                return 0
-            return self.cut(end)
-        if low in BEFORE_NAME or low in BEFORE_WORD:
-            return self.cut(end) if face and low not in BEFORE_NAME else 0
-        if low in BEFORE_NUMBER and len(low) > 1:
-            if after.isdigit() or low in ("ex", "ej") and previous.strip(".") == "p":
-                return 0
-            return self.cut(end)
-        if low in MAY_END:
-            if face or after in "¿¡«„“\"(" or bool(_CASELESS.match(after)):
-                return self.cut(end)
-            if low in COMPANY:
-                return self.cut(end) if opener else 0
-            if after.isdigit():
-                return self.cut(end)
-            if self.cased and after.isupper():
-                return self.cut(end)
-            if low in ("etc", "usw") and not self.cased:
-                return self.cut(end)
-            if low in ("p.m", "u.s", "u.k") and not self.cased and word.lower() not in ("on", "in", "at", "and", "or", "by", "to", "so", "but"):
-                return self.cut(end)
-            return self.cut(end) if opener else 0
-        if len(low) == 1 and low.isalpha():
-            if regex.search(r"\d\s?$", text[max(0, at - 3) : at - 1]) and not after.isdigit() and (opener or after.isupper() and self.cased or not after.isalpha()):
-                return self.cut(end)  # a unit behind its number
-            if after.isdigit() or after.islower() or not self.cased or len(word) == 1:
-                return 0 if not face else self.cut(end)
-            if before.isupper() and opener and not regex.search(r"[.\p{Lu}]\s*$", text[max(0, at - 4) : at - 1]) and previous and previous not in BEFORE_NAME:
-                return self.cut(end)
-            return self.cut(end) if not after.isalpha() and after in "¿¡«„" else 0
-        if len(low) == 2 and low.isalpha() and low[0] == low[1] and (before.isupper() or not self.cased):
-            return self.cut(end) if low != "ee" and opener and self.cased and after.isupper() else 0
-        if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
-            return self.cut(end) if starts and opener else 0
-        if regex.fullmatch(r"\d{1,2}(?:\.\d{1,2})?", low) and previous in ORDINAL and not regex.search(r"\d$", previous):
-            return 0
-        return self.cut(end)
+            return out | ({"abbreviation": 0.5} if letters == 1 or regex.match(r"\p{Devanagari}", before[-1]) and letters <= 3 else {})
+        if low in BEFORE_NAME:
+            out["title"] = 0.2
+        elif low in BEFORE_WORD:
+            out["abbreviation"] = 1.5 if face else 0.2
+        elif low in BEFORE_NUMBER and len(low) > 1:
+            out["number"] = 0.2 if after.isdigit() or low in ("ex", "ej") and previous.strip(".") == "p" else 2.0
+        elif low in MAY_END:
+            out["abbreviation"] = 0.8
+            free = not self.cased and (low in ("etc", "usw") or low in ("p.m", "u.s", "u.k") and word.lower() not in ("on", "in", "at", "and", "or", "by", "to", "so", "but"))
+            fresh = after in "¿¡«„“\"(" or bool(_CASELESS.match(after))
+            if face or fresh or opener or low not in COMPANY and (after.isdigit() or upper or free):
+                out["end"] = 0.5
+        elif len(low) == 1 and low.isalpha():
+            out["initial"] = 0.5
+            unit = bool(regex.search(r"\d\s?$", text[max(0, at - 3) : at - 1])) and not after.isdigit() and (opener or upper or not after.isalpha())
+            if unit:
+                out["end"] = 0.2  # a unit behind its number
+            elif after.isdigit() or after.islower() or not self.cased or len(word) == 1:
+                out["end"] = 0.2 if face else 1.0
+            elif before.isupper() and opener and previous and previous not in BEFORE_NAME and not regex.search(r"[.\p{Lu}]\s*$", text[max(0, at - 4) : at - 1]):
+                out["end"] = 0.2
+            elif not after.isalpha() and after in "¿¡«„":
+                out["end"] = 0.2
+        elif len(low) == 2 and low.isalpha() and low[0] == low[1] and (before.isupper() or not self.cased):
+            out["initial"] = 0.5
+            if opener and upper:
+                out["end"] = 0.2
+        elif regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
+            out["initial"] = 0.5
+            if starts and opener:
+                out["end"] = 0.2
+        elif regex.fullmatch(r"\d{1,2}(?:\.\d{1,2})?", low) and previous in ORDINAL:
+            out["ordinal"] = 0.2
+        return out
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -328,11 +443,20 @@ def _lines(text: str) -> list[tuple[int, int]]:
 
 
 def _ends_sentence(line: str) -> bool:
-    line = regex.sub(rf"(?V1)(?:[{SPACE}\"'»”“’)\]）」』]|{EMOJI})+$", "", line)
-    return bool(line) and line[-1] in MARKS + ":："
+    end = len(line)
+    while end and (line[end - 1] in _BEHIND or _PICTURE.match(line, end - 1)):
+        end -= 1
+    return end > 0 and line[end - 1] in MARKS + ":："
+
 
+def _thai_end(line: str) -> bool:
+    end = len(line)
+    while end and not (line[end - 1].isalnum() or line[end - 1] == "_" or "\u0e00" <= line[end - 1] <= "\u0e7f"):
+        end -= 1
+    return end > 0 and "\u0e00" <= line[end - 1] <= "\u0e7f"
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+
+def sentences(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple[int, int]]:
     """(start, end) of each sentence in code points. None for null, empty and blank texts."""
     if not text or not text.strip(SPACE):
         return []
@@ -342,13 +466,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         return [(lo.end() if lo else 0, hi)]
     out: list[tuple[int, int]] = []
     block: tuple[int, int] | None = None
+    last = ""  # the last line of the block
     listed, blank = False, True
 
     def flush():
         nonlocal block
         if block:
             lo, hi = block
-            out.extend((lo + s, lo + e) for s, e in Block(text[lo:hi]).sentences())
+            out.extend((lo + s, lo + e) for s, e in Block(text[lo:hi], lexicon).sentences())
             block = None
 
     for lo, hi in _lines(text):
@@ -358,7 +483,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             listed, blank = False, True
             continue
         bullet = _BULLET.match(line)
-        if bullet and bullet.group(1) and not (blank or listed or block and _ends_sentence(text[block[0] : block[1]])):
+        if bullet and bullet.group(1) and not (blank or listed or block and _ends_sentence(last)):
             bullet = None
         if bullet:
             flush()
@@ -371,26 +496,61 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             continue
         if listed:
             flush()
-        if block and _ends_sentence(text[block[0] : block[1]]) and regex.search(r"[฀-๿]\W*$", text[block[0] : block[1]]):
+        if block and _ends_sentence(last) and _thai_end(last):
             flush()
-        block = (block[0] if block else lo, hi)
+        block, last = (block[0] if block else lo, hi), line
         listed, blank = False, False
     flush()
     return out
 
 
+def learn(df: DataFrame, text: str = "text") -> Lexicon:
+    """The lexicon of a corpus, counted over all its texts.
+
+    A Thai word is a string of up to ``LONGEST`` letters that stands at least ``SEEN`` times and is bounded on both sides: by
+    the end of a run or by at least three different neighbours. It spans no polite particle and begins with no mark that
+    leans on the letter before. Opening words begin a share of ``OPENS`` of their runs. A word is written with an
+    exclamation mark if it is followed by a small letter at least three times and in half of its occurrences so marked.
+    Words of spaced scripts open sentences if a share of ``STARTS`` stands behind a line break or a mark of another kind
+    than the period.
+    The lexicon has at most ``WORDS`` words, which bounds what is shipped.
+    """
+    texts = df.select(F.col(text).alias("t")).where("t is not null")
+    found = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?:[0-9%] ?)?[\u0E00-\u0E7F]{2,}"), 0)).alias("r"))
+    # What follows a number goes on with its sentence.
+    runs = cut(found.groupBy(F.regexp_replace("r", "^[0-9%] ?", "").alias("run"), (~F.col("r").rlike("^[0-9%]")).alias("free")).agg(F.count("*").alias("n")))
+    size = F.length("run")
+    cuts = runs.select("run", "free", "n", F.explode(F.sequence(F.lit(1), size)).alias("i")).select("run", "free", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST + 1), size - F.col("i") + 1))).alias("l"))
+    parts = cuts.select(F.expr("substring(run, i, l)").alias("w"), "n", (F.col("i") == 1).alias("head"), "free", (F.col("i") + F.col("l") == size + 1).alias("tail"))
+    counts = cut(parts.groupBy("w").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("head"), F.col("n")).otherwise(0)).alias("heads"), F.sum(F.when(F.col("head") & F.col("free"), F.col("n")).otherwise(0)).alias("opened"), F.sum(F.when(F.col("tail"), F.col("n")).otherwise(0)).alias("tails")))
+    right = counts.where("length(w) > 1").groupBy(F.expr("left(w, length(w) - 1)").alias("r")).agg(F.count("*").alias("rights"))
+    left = counts.where("length(w) > 1").groupBy(F.expr("right(w, length(w) - 1)").alias("l")).agg(F.count("*").alias("lefts"))
+    inner = "|".join(sorted(THAI_POLITE))
+    known = counts.where(f"length(w) between 2 and {LONGEST} and n >= {SEEN}").where(~F.col("w").rlike(r"^[\u0E30-\u0E3A\u0E45\u0E47-\u0E4E]") & ~F.col("w").rlike(f"(?:{inner})."))
+    known = known.join(right, F.col("w") == F.col("r"), "left").join(left, F.col("w") == F.col("l"), "left")
+    known = known.where("(heads > 0 or lefts >= 3) and (tails > 0 or rights >= 3)").orderBy(F.desc("n"), "w").limit(WORDS)
+    rows = known.select("w", (F.col("opened") >= F.col("n") * OPENS).alias("opens")).collect()
+    marked = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+!(?: \p{Ll})?)"), 1)).alias("m"))
+    shouted = marked.groupBy(F.lower(F.substring_index("m", "!", 1)).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("m").rlike("! ")).alias("on"))
+    names = shouted.where("on >= 3 and on * 2 >= n").orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?:(?:^|[!?\n])\s*)?[\p{L}][\p{L}\p{M}'’]*"), 0)).alias("m"))
+    opened = words.groupBy(F.lower(F.regexp_replace("m", r"^[!?\s]+", "")).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("m").rlike(r"^[!?\n]")).alias("first"))
+    starters = opened.where(F.col("first") >= F.greatest(F.lit(SEEN), F.col("n") * STARTS)).orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    return Lexicon(frozenset(r.w for r in rows), frozenset(r.w for r in rows if r.opens), frozenset(r.w for r in names), frozenset(r.w for r in starters))
+
+
 def split_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start_pos int, end_pos int): every sentence of every text, whole texts of any length.
+    """(key, start_pos int, end_pos int): every sentence of every text, whole texts of any length, by the corpus's lexicon.
 
     Null and blank texts have none. Repeated rows are split each; other columns are not read.
     """
-    kind = dict(df.dtypes)[key]
+    kind, lexicon = dict(df.dtypes)[key], learn(df, text)
 
     def run(batches):
         for b in batches:
             at, starts, ends = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for s, e in sentences(t):
+                for s, e in sentences(t, lexicon):
                     at.append(i)
                     starts.append(s)
                     ends.append(e)
