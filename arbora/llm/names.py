@@ -35,7 +35,7 @@ from arbora.operators.graph import components
 from arbora.runtime import cut, small
 
 #: Cosine of a link between names, and between companies: also what clusters must reach on average.
-COSINE, COMPANY_COSINE = 0.2, 0.4
+COSINE, COMPANY_COSINE = 0.15, 0.35
 #: Least score of a checked link, and what checked clusters must reach on average.
 LINK, CHECKED = 0.4, 0.45
 #: Share of the unmarked n-grams in a vector.
@@ -44,8 +44,8 @@ PLAIN = 0.25
 ROUNDING = 1e-5
 #: Scores are added up as integers of this unit, so that no order of adding changes an average.
 UNITS = 1_000_000
-#: Clusters of one component that are merged in one task.
-COMPONENT_LIMIT = 1000
+#: Clusters of one component that are merged in one task, and links that are without being told apart by components.
+COMPONENT_LIMIT, FEW_LINKS = 1000, 5000
 
 # Titles and degrees beside a name.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "phd", "msc", "bsc", "md", "mba", "jr", "sr", "esq", "ing", "mx"}
@@ -180,9 +180,8 @@ def company_likeness(a: list[str], b: list[str]) -> float:
 
 
 def grams(word: str) -> list[str]:
-    """Three letters in a row, and pairs of letters that touch or have one between: a typo spares most of one kind."""
     x = f"^{word}$"
-    return [x[i : i + 3] for i in range(len(x) - 2)] + [x[i : i + 2] for i in range(len(x) - 1)] + [f"{x[i]}_{x[i + 2]}" for i in range(len(x) - 2)]
+    return [x[i : i + 3] for i in range(len(x) - 2)]
 
 
 def written_out(word: str) -> list[str]:
@@ -367,18 +366,22 @@ def clusters(found: DataFrame, least: float, component_limit: int = COMPONENT_LI
     """
     floor = round(least * UNITS)
     pairs = cut(found.select("a", "b", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"), F.round(F.col("score") * UNITS).cast("long").alias("score")))
-    placed = cut(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("s")), F.struct(F.col("b").alias("s"))))).distinct().select("s", F.col("s").alias("cluster")))
+    if component_limit >= COMPONENT_LIMIT and pairs.count() <= FEW_LINKS:
+        return cut(pairs.withColumn("component", F.lit(0)).repartition(1).mapInPandas(_linked(least), "s long, cluster long"))
+    placed = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("s")), F.struct(F.col("b").alias("s"))))).distinct().select("s", F.col("s").alias("cluster"))
     while True:
         close = pairs.where(F.col("score") >= floor * F.col("na") * F.col("nb"))
         ends = close.select(F.inline(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))).distinct()
         labelled = cut(components(ends, close.select(F.col("a").alias("from_user_id"), F.col("b").alias("to_user_id"))))
         one, two = labelled.select(F.col("id").alias("a"), "component"), labelled.select(F.col("id").alias("b"), F.col("component").alias("other"))
-        tagged = cut(pairs.join(one, "a").join(two, "b").where("component = other").drop("other"))
-        big = cut(labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > component_limit).select("component"))
+        tagged = pairs.join(one, "a").join(two, "b").where("component = other").drop("other")
+        big = labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > component_limit).select("component")
         none = big.isEmpty()
+        if not none:
+            tagged, big = cut(tagged), cut(big)
         ready = tagged if none else tagged.join(big, "component", "left_anti")
         # So many tasks whatever the size in bytes: the work is per link.
-        spread = ready.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component").sortWithinPartitions("component")
+        spread = ready.repartition(_tasks(found), "component").sortWithinPartitions("component")
         placed = _follow(placed, spread.mapInPandas(_linked(least), "s long, cluster long"))
         if none:
             return placed
@@ -386,6 +389,10 @@ def clusters(found: DataFrame, least: float, component_limit: int = COMPONENT_LI
         placed = _follow(placed, merged)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _linked(least: float):
     """Average linkage of the components in a partition sorted by them, as many whole ones at once as a batch holds."""
 
@@ -428,7 +435,8 @@ def linked(rows: DataFrame, vector, least: float, score, component_limit: int) -
     within = links.join(one, "a").join(two, "b").where("ca = cb").select("a", "b")
     texts = rows.select("s", "text")
     paired = within.join(texts.withColumnsRenamed({"s": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"s": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-    return clusters(paired.mapInArrow(_aligned(score), "a long, b long, score double"), CHECKED, component_limit)
+    spread = paired.repartition(_tasks(rows))  # so many tasks whatever the size in bytes: the work is per pair
+    return clusters(spread.mapInArrow(_aligned(score), "a long, b long, score double"), CHECKED, component_limit)
 
 
 def blocks(companies: DataFrame, canonical: DataFrame, broadcast_limit: int = BROADCAST_LIMIT, component_limit: int = COMPONENT_LIMIT) -> DataFrame:

@@ -253,9 +253,10 @@ def _array_pairs(classes: DataFrame, least: int, num: int, den: int) -> DataFram
 def _row_pairs(tokens: DataFrame, num: int, den: int) -> DataFrame:
     """Links between sets given as rows (id, token, size), for sets too large for an array.
 
-    Segments are twice the largest difference, so that more of them hold tokens than can differ, and each is a folded
-    hash of its tokens; equal hashes make candidates, whose common tokens are counted by joins. Hash sums stay of fixed
-    size whatever the set.
+    Segments are twice the largest difference, and each is a folded hash of its tokens; equal hashes make candidates, whose
+    common tokens are counted by joins. Hash sums stay of fixed size whatever the set. A prober with more segments that
+    hold tokens than tokens can differ must agree with a similar set in one of them; should the hash fill fewer
+    (counted), its single tokens are its segments.
     """
     rng = F.floor(F.log(F.col("size").cast("double")) / math.log(RANGE_GROWTH)).cast("int")
     own = tokens.withColumn("own", rng)
@@ -269,7 +270,15 @@ def _row_pairs(tokens: DataFrame, num: int, den: int) -> DataFrame:
     index = signed.where("own = range").select("sig", F.col("id").alias("i"), F.col("size").alias("isize"))
     probe = signed.select("sig", F.col("id").alias("p"), F.col("size").alias("psize"))
     fits = (F.col("i") != F.col("p")) & (F.col("isize") <= F.col("psize")) & (F.col("isize") * den >= F.col("psize") * num)
-    met = cut(probe.join(index, "sig").where(fits).select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
+    pair = [F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")]
+    met = probe.join(index, "sig").where(fits).select(*pair)
+    most = F.ceil(F.least(F.pow(F.lit(RANGE_GROWTH), F.col("range") + 1), F.col("size")) * (den - num) / (den + num) + F.col("size") * (den - num) / (den + num))
+    sparse = cut(folded.groupBy("id", "size", "range").agg(F.count("*").alias("held")).where(F.col("held") <= most).select("id").distinct())
+    if not sparse.isEmpty():
+        every = tokens.select("token", F.col("id").alias("i"), F.col("size").alias("isize"))
+        alone = tokens.join(sparse, "id", "left_semi").select("token", F.col("id").alias("p"), F.col("size").alias("psize"))
+        met = met.unionByName(alone.join(every, "token").where(fits).select(*pair))
+    met = cut(met.distinct())
     left = tokens.select(F.col("id").alias("a"), "token", F.col("size").alias("sa"))
     right = tokens.select(F.col("id").alias("b"), "token", F.col("size").alias("sb"))
     common = met.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first(F.col("sa") + F.col("sb")).alias("both"))
