@@ -99,6 +99,29 @@ def defer_hub_scopes(state: DataFrame, edges: DataFrame, users: DataFrame, profi
     return joined.withColumn("priority", F.when(low, "low").otherwise(F.col("priority"))).select(*state.columns)
 
 
+def known_scopes(state: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The ``scopes`` (crawler_name, scope_key) that have a crawl state of any status."""
+    return scopes.join(state.select(*SCOPE_KEY), SCOPE_KEY, "left_semi")
+
+
+def pending_scopes(state: DataFrame, crawler: str = CRAWLER, limit: int = 0) -> DataFrame:
+    """(scope_key) of the scopes still to be crawled, in no order; 0 as limit is all."""
+    open_ = state.where((F.col("crawler_name") == crawler) & F.col("status").isin("pending", "retry", "in_progress")).select("scope_key")
+    return open_.limit(limit) if limit else open_
+
+
+def bootstrap(users: DataFrame, profiles: DataFrame, state: DataFrame, config: DataFrame, seed: DataFrame, crawler: str = CRAWLER) -> dict[str, DataFrame]:
+    """The tables of a first run: the user of the one-row profile ``seed`` (login and profile columns), its scope of degree 0
+    and its login under the key seed. If there is any user already, all stay as they are."""
+    if not users.isEmpty():
+        return {"users": users, "profiles": profiles, "state": state, "config": config}
+    first = upsert_users(users, seed.select("login", F.lit(0).cast("long").alias("seq")))
+    fetched = seed.join(first, "login").select(F.col("id").alias("user_id"), *[c for c in profiles.columns if c != "user_id"])
+    scope = seed.select(F.lit(crawler).alias("crawler_name"), F.col("login").alias("scope_key"), F.lit(0).alias("degree"), F.lit("normal").alias("priority"), F.lit(0).cast("long").alias("seq"))
+    named = seed.select(F.lit("seed").alias("key"), F.col("login").alias("value"))
+    return {"users": first, "profiles": upsert_profiles(profiles, fetched), "state": enqueue(state, scope)[0], "config": set_config(config, named)}
+
+
 def status_counts(state: DataFrame) -> DataFrame:
     return state.groupBy("status", "priority").agg(F.count("*").alias("n"))
 
@@ -140,6 +163,11 @@ def upsert_profiles(profiles: DataFrame, fetched: DataFrame) -> DataFrame:
     return both.groupBy("user_id").agg(newest).select("user_id", *[F.col(f"m.{c}") for c in rest])
 
 
+def get_config(config: DataFrame, key: str) -> DataFrame:
+    """(value) of a key; no row where it is unset."""
+    return config.where(F.col("key") == key).select("value")
+
+
 def set_config(config: DataFrame, changes: DataFrame) -> DataFrame:
     return config.join(changes.select("key"), "key", "left_anti").select("key", "value").unionByName(changes.select("key", "value"))
 

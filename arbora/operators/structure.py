@@ -6,13 +6,16 @@ gathered: its cut vertices come from a distributed biconnectivity computation an
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.operators.graph import adjacency, components
-from arbora.runtime import cut
+from arbora.operators.hierarchy import peel
+from arbora.runtime import cut, numbered
 
 #: Distinct links of a component that a kernel takes in one group.
 COMPONENT_LIMIT = 500_000
@@ -232,7 +235,7 @@ def communities(users: DataFrame, follows: DataFrame, component_limit: int = COM
     parts = components(users, inner)
     tagged = cut(entries.join(parts, F.col("src") == F.col("id")).select("src", "dst", "component"))
     large = cut(tagged.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > 2 * component_limit).select("component"))
-    order = _turns(users)
+    order = turns(users)
     turned = tagged.join(large, "component", "left_anti").join(order, F.col("src") == F.col("tid")).select("src", "dst", "component", "turn")
     moved = turned.groupBy("component").applyInPandas(_moves_kernel(m), "id long, community long")
     if not large.isEmpty():
@@ -240,19 +243,39 @@ def communities(users: DataFrame, follows: DataFrame, component_limit: int = COM
     return users.select("id").distinct().join(moved.withColumnRenamed("id", "mid"), F.col("id") == F.col("mid"), "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-#: Users up to which the visiting order is the exact permutation; beyond it a hash of the id orders the nodes.
+#: Users whose visiting order the driver computes, 16 bytes each; beyond it the order is derived by joins.
 ORDERED_USERS = 1_000_000
 
 
-def _turns(users: DataFrame) -> DataFrame:
-    """(tid, turn): when each user is visited."""
+def turns(users: DataFrame, limit: int = ORDERED_USERS) -> DataFrame:
+    """(tid, turn): when each user is visited, the same at every size.
+
+    Swaps go from the last place down, so a place is settled by its own swap, and what stands at place i before its swap is
+    what the latest earlier swap brought there, the one of the smallest larger place that swaps with i. Places so form
+    a forest whose roots still hold their first user, and the swap of i takes from its partner's place what stands there.
+    """
     ids = users.select("id").distinct()
-    if ids.limit(ORDERED_USERS + 1).count() > ORDERED_USERS:
-        return ids.select(F.col("id").alias("tid"), F.xxhash64("id").cast("double").alias("turn"))
-    nodes = np.sort(np.array([r.id for r in ids.toLocalIterator()], np.int64))
-    turn = np.empty(len(nodes), np.int64)
-    turn[visit_order(len(nodes))] = np.arange(len(nodes))
-    return users.sparkSession.createDataFrame(pd.DataFrame({"tid": nodes, "turn": turn.astype(float)}))
+    if ids.limit(limit + 1).count() <= limit:
+        nodes = np.sort(np.array([r.id for r in ids.toLocalIterator()], np.int64))
+        turn = np.empty(len(nodes), np.int64)
+        turn[visit_order(len(nodes))] = np.arange(len(nodes))
+        return users.sparkSession.createDataFrame(pd.DataFrame({"tid": nodes, "turn": turn}))
+    placed = cut(numbered(ids, [], ["id"], "n").select("id", (F.col("n") - 1).alias("i")))
+    # (i * VISIT mod 2^64) mod (i + 1) in unsigned arithmetic, as whole decimals.
+    product = F.col("i").cast("decimal(19,0)") * F.lit(Decimal(VISIT)) % F.lit(Decimal(1 << 64))
+    swaps = cut(placed.where("i > 0").select("i", (product % (F.col("i") + 1).cast("decimal(20,0)")).cast("long").alias("j")))
+    # Of the swaps with one partner, a few each: the next larger, also for the partner itself.
+    asked = swaps.select("j", "i", F.lit(True).alias("swap")).unionByName(placed.select(F.col("i").alias("j"), "i", F.lit(False).alias("swap")))
+    later = Window.partitionBy("j").orderBy(F.desc("i"), F.desc("swap")).rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("swap"), F.col("i")), ignorenulls=True).over(later)
+    # A swap with itself moves nothing, and a place is not brought anything by its own swap.
+    found = cut(asked.withColumn("next", latest).select("j", "i", "swap", F.when(F.col("next") != F.col("i"), F.col("next")).alias("next")))
+    chain = found.where(~F.col("swap")).select(F.col("i").cast("string").alias("node"), F.col("next").cast("string").alias("parent"))
+    root = peel(chain).select(F.col("node").cast("long").alias("k"), F.col("root").cast("long").alias("r"))
+    order = found.where(F.col("swap")).select("i", F.col("j"), "next").join(root, F.col("next") == F.col("k"), "left").select("i", F.coalesce("r", "j").alias("place"))
+    # Place 0 is settled last: it holds what the last swap with it brought.
+    order = order.unionByName(root.where("k = 0").select(F.lit(0).cast("long").alias("i"), F.col("r").alias("place")))
+    return order.join(placed.select(F.col("i").alias("place"), F.col("id").alias("tid")), "place").select("tid", F.col("i").alias("turn"))
 
 
 def modularity(follows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -271,11 +294,26 @@ def modularity(follows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def community_cards(labels: DataFrame, follows: DataFrame, users: DataFrame, limit: int = 10) -> DataFrame:
-    """(community, members, representatives): the largest communities with their three best-connected logins."""
+    """(community, members, communities, representatives): the largest communities with their three best-connected logins;
+    communities is their number before the limit."""
     degree = adjacency(follows).groupBy("src").agg(F.count("*").alias("k"))
     ranked = labels.join(degree, F.col("id") == F.col("src"), "left").join(users.select(F.col("id").alias("ui"), "login"), F.col("id") == F.col("ui"))
     place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc(F.coalesce("k", F.lit(0))), "id"))
     top = ranked.withColumn("place", place).where("place <= 3").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "login"))).getField("login").alias("representatives"))
     sizes = labels.groupBy("community").agg(F.count("*").alias("members"))
-    cards = sizes.join(top, "community").orderBy(F.desc("members"), "community")
+    total = sizes.agg(F.count("*").alias("communities"))
+    cards = sizes.join(top, "community").join(F.broadcast(total)).orderBy(F.desc("members"), "community")
+    return cards.limit(limit) if limit else cards
+
+
+def community_of(labels: DataFrame, users: DataFrame, login: str) -> DataFrame:
+    """(community, login): all members of the community the user of ``login`` is in; no rows for an unknown login."""
+    mine = users.where(F.col("login") == login).select(F.col("id").alias("me")).join(labels, F.col("me") == F.col("id")).select("community")
+    return labels.join(F.broadcast(mine), "community").join(users.select("id", "login"), "id").select("community", "login")
+
+
+def bridge_cards(impacts: DataFrame, users: DataFrame, profiles: DataFrame, limit: int = 20) -> DataFrame:
+    """(login, following, followers, impact) of ``bridges``, the largest impact first; counts are null without a profile."""
+    named = impacts.join(users.select("id", "login"), "id").join(profiles.select(F.col("user_id").alias("pid"), "following", "followers"), F.col("id") == F.col("pid"), "left")
+    cards = named.orderBy(F.desc("impact"), "id").select("login", "following", "followers", "impact")
     return cards.limit(limit) if limit else cards

@@ -54,7 +54,7 @@ def p4_degree_median(spark, d):
 
 
 def _versions(spark, d):
-    return history.versions(table(spark, d, "profile_updates"), "user_id", history.iso_instant(F.col("updated_at")), ["followers", "following"], ["fetched_at", "update_id"])
+    return history.history(table(spark, d, "profile_updates"), "user_id", history.iso_instant(F.col("updated_at")), ["followers", "following"], ["fetched_at", "update_id"])
 
 
 def _seconds(micros):

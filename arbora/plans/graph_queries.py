@@ -324,6 +324,48 @@ def bridges(s, d):
     return structure.bridges(X.users(s, d), X.follows(s, d))
 
 
+@query()
+def bridge_cards(s, d):
+    """The twenty users whose removal splits most."""
+    u, p = _users(s, d)
+    return structure.bridge_cards(structure.bridges(u, X.follows(s, d)), u, p)
+
+
+@query("SELECT scope_key FROM state WHERE status IN ('pending', 'retry', 'in_progress')")
+def pending_scopes(s, d):
+    return queue.pending_scopes(X.crawl_state(s, d))
+
+
+@query("SELECT login AS scope_key FROM usr WHERE login IN (SELECT scope_key FROM state)")
+def has_crawl_state(s, d):
+    """The users that are known to the queue."""
+    return queue.known_scopes(X.crawl_state(s, d), X.users(s, d).select(F.lit(queue.CRAWLER).alias("crawler_name"), F.col("login").alias("scope_key"))).select("scope_key")
+
+
+@query("SELECT u.id, u.login, 0 AS degree, 'pending' AS status, u.login AS seed FROM (SELECT 1 AS id, min(login) AS login FROM usr WHERE id = 4) u")
+def seed_bootstrap(s, d):
+    """An empty store with one seed."""
+    u, p = _users(s, d)
+    seed = U.by_id(u, p, 4).select("login", *U.PROFILE).withColumn("fetched_at", _at())
+    state, config = X.crawl_state(s, d).limit(0), s.createDataFrame([], model.CONFIG.replace(" not null", ""))
+    first = queue.bootstrap(u.limit(0), p.limit(0).select("user_id", *U.PROFILE, "fetched_at"), state, config, seed)
+    scope = first["state"].select(F.col("scope_key").alias("login"), "degree", "status")
+    return first["users"].join(scope, "login").join(queue.get_config(first["config"], "seed").withColumnRenamed("value", "seed")).select("id", "login", "degree", "status", "seed")
+
+
+@query("SELECT in_degree, count(*) AS users FROM (SELECT count(*) AS in_degree FROM fol GROUP BY to_user_id) x GROUP BY 1")
+def in_degree_histogram(s, d):
+    return X.follows(s, d).groupBy("to_user_id").agg(F.count("*").alias("in_degree")).groupBy("in_degree").agg(F.count("*").alias("users"))
+
+
+@query("SELECT DISTINCT c.login, (SELECT count(*) FROM fol a JOIN fol b ON a.from_user_id = b.to_user_id AND a.to_user_id = b.from_user_id WHERE a.from_user_id = c.id AND a.to_user_id <> c.id) AS mutual FROM usr c WHERE c.id IN (SELECT a.from_user_id FROM fol a JOIN fol b ON a.from_user_id = b.to_user_id AND a.to_user_id = b.from_user_id WHERE a.from_user_id <> a.to_user_id)")
+def mutual_counts(s, d):
+    """Users with mutual follows and how many they have."""
+    pairs = U.mutual_pairs(X.edges(s, d))
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id")))))
+    return ends.groupBy("id").agg(F.count("*").alias("mutual")).join(X.users(s, d), "id").select("login", "mutual")
+
+
 @query()
 def communities(s, d):
     return structure.communities(X.users(s, d), X.follows(s, d))
@@ -333,7 +375,7 @@ def communities(s, d):
 def community_reps(s, d):
     f, u = X.follows(s, d), X.users(s, d)
     cards = structure.community_cards(structure.communities(u, f), f, u)
-    return cards.select("community", "members", F.array_join("representatives", ",").alias("representatives"))
+    return cards.select("community", "members", "communities", F.array_join("representatives", ",").alias("representatives"))
 
 
 @query()
@@ -581,7 +623,12 @@ def thresholds(s, d):
     return X.profiles(s, d).select("user_id", S.density_bucket(n / 1e6).alias("density"), S.impact_bucket(n).alias("impact"), S.modularity_bucket(n / 1e4).alias("modularity"), S.quota_bucket(n).alias("quota"))
 
 
-@query("SELECT user_id, CASE WHEN length_grapheme(name) <= 12 THEN name ELSE left_grapheme(name, 11) || '…' END AS short, location || repeat(' ', greatest(10 - length_grapheme(location), 0)) AS wide, repeat(' ', greatest(10 - length_grapheme(location), 0)) || location AS right FROM prof")
+# Display columns in SQL: letters without marks, wide ones twice.
+_WIDTH = "(length_grapheme({c}) + length(regexp_replace({c}, '[^\\x{{1100}}-\\x{{115F}}\\x{{2E80}}-\\x{{A4CF}}\\x{{AC00}}-\\x{{D7A3}}\\x{{F900}}-\\x{{FAFF}}\\x{{FE30}}-\\x{{FE6F}}\\x{{FF00}}-\\x{{FF60}}\\x{{FFE0}}-\\x{{FFE6}}]', '', 'g')))"
+_BLANKS = f"repeat(' ', greatest(10 - {_WIDTH.format(c='location')}, 0))"
+
+
+@query(f"SELECT user_id, CASE WHEN length_grapheme(name) <= 12 THEN name ELSE left_grapheme(name, 11) || '…' END AS short, location || {_BLANKS} AS wide, {_BLANKS} || location AS right FROM prof")
 def truncate(s, d):
     return X.profiles(s, d).select("user_id", S.truncate(F.col("name"), 12).alias("short"), S.pad_right(F.col("location"), 10).alias("wide"), S.pad_left(F.col("location"), 10).alias("right"))
 
@@ -633,6 +680,18 @@ def stream_windowed_counts(s, d):
     return E.run_once(E.windowed_counts(E.read_events(s, d)), "stream_windowed_counts")
 
 
+@query(f"{_EVENTS} SELECT event_id, user_id, event FROM ev")
+def event_concat(s, d):
+    """Both kinds of events taken apart and put together again."""
+    apart = E.demultiplex(E.as_crawl_events(table(s, d, "events")))
+    return E.chained(apart["user_done"], apart["user_queued"]).select("event_id", "user_id", "event")
+
+
+@query("SELECT greatest(3, max(length(degree || '°'))) AS degree_width, least(max(length(scope_key)), 30) AS login_width FROM state")
+def column_widths(s, d):
+    return E.column_widths(X.crawl_state(s, d).select("degree", F.col("scope_key").alias("login")))
+
+
 @query(f"{_EVENTS} SELECT event, event_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY ts DESC, event_id DESC) AS place FROM ev) x WHERE place <= 9999")
 def ring_buffer_latest(s, d):
     return E.newest(E.as_crawl_events(table(s, d, "events"))).select("event", "event_id", "place")

@@ -65,6 +65,20 @@ def _hadoop_path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _hadoop_path(spark, folder)
+    return files.exists(path)
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder without those that are not data; none if there is no such folder."""
+    path, files = _hadoop_path(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    return sorted(n for n in names if not n.startswith((".", "_")) or "=" in n)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the copy.
 

@@ -11,7 +11,7 @@ PROFILE_JSON = "login string, id long, name string, avatar_url string, company s
 SUMMARY_JSON = "array<struct<login:string,avatar_url:string>>"
 EVENT_JSON = "event string, login string, degree int, new_connections long, following_count long, followers_count long, parent_login string"
 REQUEST_JSON = "cmd string, watch boolean"
-COMMANDS = ("run", "pause", "status", "stop")
+COMMANDS = ("status", "start", "pause")
 PAGE_SIZE = 100
 
 
@@ -43,16 +43,40 @@ def parse_pages(raw: DataFrame, key: str = "login", page: str = "page", column:
 
 
 def parse_requests(raw: DataFrame, column: str = "value") -> DataFrame:
-    """(cmd, watch, known) of request lines; unreadable lines have a null cmd and are not known."""
-    parsed = raw.select(F.from_json(column, REQUEST_JSON).alias("r")).select("r.cmd", F.coalesce("r.watch", F.lit(False)).alias("watch"))
+    """``raw`` with (cmd, watch, known) of its request lines; unreadable lines have a null cmd and are not known."""
+    parsed = raw.withColumn("_r", F.from_json(column, REQUEST_JSON))
+    parsed = parsed.withColumns({"cmd": F.col("_r.cmd"), "watch": F.coalesce(F.col("_r.watch"), F.lit(False))}).drop("_r")
     return parsed.withColumn("known", F.coalesce(F.col("cmd").isin(*COMMANDS), F.lit(False)))
 
 
-def responses(requests: DataFrame) -> DataFrame:
-    """The response line of each request: ok, bye for stop, error for unknown commands."""
-    kind = F.when(~F.col("known"), "error").when(F.col("cmd") == "stop", "bye").otherwise("ok")
-    message = F.when(~F.col("known"), F.concat(F.lit("unknown command: "), F.coalesce("cmd", F.lit(""))))
-    return requests.select(F.to_json(F.struct(kind.alias("type"), message.alias("message"))).alias("line"))
+def responses(requests: DataFrame, snapshot: DataFrame | None = None, order: str = "seq", paused: bool = False) -> DataFrame:
+    """(order, line): the response to each of one server's requests, in their order.
+
+    start and pause tell whether they changed anything; status gives the one row of ``snapshot``; other commands are
+    errors. Requests are typed by people, so their order is no concern of size.
+    """
+    switch = F.when(F.col("cmd").isin("start", "pause"), F.col("cmd"))
+    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    was = F.coalesce(F.last(switch, ignorenulls=True).over(earlier), F.lit("pause" if paused else "start"))
+    said = F.when((F.col("cmd") == "start") & (was == "pause"), "started").when(F.col("cmd") == "start", "already running").when(was == "start", "paused").otherwise("already paused")
+    told = requests.withColumn("msg", F.when(switch.isNotNull(), said))
+    one = snapshot.select(F.struct("*").alias("status")) if snapshot is not None else requests.sparkSession.range(1).select(F.struct(F.lit(None).cast("string").alias("none")).alias("status"))
+    line = (
+        F.when(~F.col("known"), F.to_json(F.struct(F.lit("error").alias("type"), F.concat(F.lit("unknown command: "), F.coalesce("cmd", F.lit(""))).alias("msg"))))
+        .when(F.col("cmd") == "status", F.to_json(F.struct(F.lit("ok").alias("type"), F.col("status").alias("data"))))
+        .otherwise(F.to_json(F.struct(F.lit("ok").alias("type"), F.struct("msg").alias("data"))))
+    )
+    return told.join(F.broadcast(one)).select(order, line.alias("line"))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """(line) of each event as the protocol sends it; columns that are null are left out."""
+    return events.select(F.to_json(F.struct(F.lit("event").alias("type"), F.struct("*").alias("data"))).alias("line"))
+
+
+def parse_responses(raw: DataFrame, column: str = "value") -> DataFrame:
+    """(type, data) of response lines, data as JSON text: what a client dispatches on."""
+    return raw.select(F.get_json_object(column, "$.type").alias("type"), F.get_json_object(column, "$.data").alias("data")).where("type is not null")
 
 
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -68,7 +92,11 @@ def export_lines(edges: DataFrame, users: DataFrame, profiles: DataFrame) -> Dat
 
 
 def export_document(edges: DataFrame, users: DataFrame, profiles: DataFrame, path: str) -> tuple[int, int]:
-    """Write one JSON document {users, edges} to ``path`` from streamed partitions; number of users and edges."""
+    """Write one JSON document {users, edges} to the local file ``path``; number of users and edges.
+
+    One document is one file, so its lines pass through the driver, a partition at a time. ``export_lines`` written as
+    text is the form for large graphs.
+    """
     counts = []
     with open(path, "w", encoding="utf-8") as f:
         f.write("{")

@@ -110,8 +110,8 @@ def updates(spark, rows):
     return df.join(fetched, "update_id").withColumn("fetched_at", F.timestamp_seconds("f")).drop("f")
 
 
-def versions(spark, rows, **more):
-    got = history.versions(updates(spark, rows), "user_id", history.iso_instant(F.col("updated_at")), ["followers", "following"], ["fetched_at", "update_id"], **more)
+def versions(spark, rows, build=history.history, **more):
+    got = build(updates(spark, rows), "user_id", history.iso_instant(F.col("updated_at")), ["followers", "following"], ["fetched_at", "update_id"], **more)
     return sorted(((r.user_id, r.followers, r.following, r.valid_from // 10**6, r.valid_to and r.valid_to // 10**6) for r in got.collect()), key=lambda r: (r[0], r[3]))
 
 
@@ -129,21 +129,25 @@ def test_versions(spark):
         (2, 1, 1, "1969-12-31T19:00:00-05:00", 1),
     ]
     want = [(1, 5, 5, 10, 20), (1, 7, 5, 20, 19 * 86400), (1, None, 5, 19 * 86400, None), (2, 1, 1, 0, None)]
-    assert versions(spark, rows) == want
-    assert versions(spark, []) == []
+    for build in (history.history, history.versions):
+        assert versions(spark, rows, build) == want
+        assert versions(spark, [], build) == []
 
 
-def test_versions_do_not_depend_on_buckets(spark):
+def test_merging_periods_gives_the_versions(spark):
     rnd = random.Random(2)
-    rows = [(u, rnd.randrange(3), 1, f"2024-01-{1 + rnd.randrange(28):02}T00:00:{rnd.randrange(60):02}Z", i) for i, u in enumerate(rnd.choices((1, 2), k=200))]
-    assert versions(spark, rows, bucket_seconds=3600) == versions(spark, rows, bucket_seconds=10**9)
+    rows = [(u, rnd.choice([None, 1, 2]), 1, f"2024-01-{1 + rnd.randrange(28):02}T00:00:{rnd.randrange(60):02}Z", i) for i, u in enumerate(rnd.choices((1, 1, 1, 2, 3), k=300))]
+    want = versions(spark, rows, history.versions)
+    assert len(want) > 100
+    for periods in (1, 2, 7):
+        assert versions(spark, rows, periods=periods) == want
 
 
 def test_merge_versions(spark):
     old = spark.createDataFrame([(1, "a", 0, None), (2, "b", 0, None), (3, None, 0, None), (4, "x", 0, 5), (4, "y", 5, None)], "id long, v string, valid_from long, valid_to long")
-    new = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (5, "e"), (5, "e"), (None, "z")], "id long, v string")
-    got = {tuple(r) for r in history.merge_versions(old, new, "id", ["v"], F.lit(9)).collect()}
-    assert got == {(1, "a", 0, None), (2, "b", 0, 9), (2, "c", 9, None), (3, None, 0, None), (4, "x", 0, 5), (4, "y", 5, None), (5, "e", 9, None)}
+    new = spark.createDataFrame([(1, "a", 9, None), (2, "c", 9, None), (3, None, 9, 11), (3, "n", 11, None), (5, "e", 9, None), (5, "e", 9, None), (None, "z", 9, None)], "id long, v string, valid_from long, valid_to long")
+    got = sorted(map(tuple, history.merge_versions(old, new, "id", ["v"]).collect()), key=str)
+    assert got == sorted([(1, "a", 0, None), (2, "b", 0, 9), (2, "c", 9, None), (3, None, 0, 11), (3, "n", 11, None), (4, "x", 0, 5), (4, "y", 5, None), (5, "e", 9, None)], key=str)
 
 
 def test_snapshot_changes(spark):

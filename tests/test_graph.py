@@ -1,6 +1,5 @@
 """Micro graphs with known answers, and properties on random ones."""
 
-import itertools
 import random
 
 import pytest
@@ -184,13 +183,64 @@ def test_json_keeps_nulls_and_hides_infinity(spark):
     assert U.as_json(df).first()[0] == '{"a":1,"b":null,"c":null}'
 
 
-def test_edge_store_replays_a_batch_once(spark, tmp_path):
+def stamped(df):
+    now = F.current_timestamp()
+    return df.withColumns({"weight": F.lit(1.0), "first_seen_at": now, "last_seen_at": now})
+
+
+def test_edge_store_replays_a_batch_once_and_goes_on_after_a_restart(spark, tmp_path):
     from arbora.streaming.events import EdgeStore
 
-    first = edges(spark, [(1, 2)]).withColumns({"weight": F.lit(1.0), "first_seen_at": F.current_timestamp(), "last_seen_at": F.current_timestamp()})
-    store = EdgeStore(spark, str(tmp_path), first)
+    root = str(tmp_path / "store")
+    store = EdgeStore(spark, root, stamped(edges(spark, [(1, 2)])))
+    assert store.history().count() == 0
     batch = edges(spark, [(1, 2), (3, 4)]).withColumn("weight", F.lit(1.0))
     store.apply(batch, 0)
     store.apply(batch, 0)
     assert store.edges().count() == 2 and store.history().count() == 1
-    assert len(list(itertools.chain(store.history().collect()))) == 1
+    again = EdgeStore(spark, root)
+    again.apply(edges(spark, [(5, 6)]).withColumn("weight", F.lit(1.0)), 1)
+    assert {(r.from_user_id, r.to_user_id) for r in again.edges().collect()} == {(1, 2), (3, 4), (5, 6)} and again.history().count() == 2
+
+
+def test_upserts_from_a_stream(spark, tmp_path):
+    from arbora.streaming.events import EdgeStore, upsert_stream
+
+    store = EdgeStore(spark, str(tmp_path / "store"), stamped(edges(spark, [(1, 2)])))
+    for n in range(2):
+        edges(spark, [(1, 2), (7, n)]).withColumn("weight", F.lit(1.0)).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    schema = spark.read.parquet(str(tmp_path / "in" / "0")).schema
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        upsert_stream(stream, store, str(tmp_path / "state")).awaitTermination()
+    assert store.edges().count() == 3 and store.history().count() == 2
+
+
+def test_watch_loop_pauses_and_says_bye(spark, tmp_path):
+    from arbora.streaming.events import Watch
+
+    lines = []
+    rows = spark.createDataFrame([("user_done", "a"), ("user_queued", "b")], "event string, login string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    watch = Watch(events, lambda: spark.createDataFrame([(4,)], "pending long"), lambda df, name: lines.extend(r.line for r in df.collect()), str(tmp_path / "state"), "0 seconds")
+    assert watch.start() == "started" and watch.start() == "already running"
+    assert watch.pause() == "paused" and watch.pause() == "already paused"
+    seen = len(lines)
+    assert watch.start() == "started"
+    watch.stop()
+    assert seen == 3 and lines[2] == '{"type":"ok","data":{"pending":4}}' and lines[-1] == '{"type":"bye"}' and sum('"event"' in x for x in lines) == 2
+
+
+def test_widths_of_event_columns(spark):
+    from arbora.streaming.events import column_widths
+
+    df = spark.createDataFrame([(1, "ab中"), (12345, "x" * 50)], "degree int, login string")
+    assert tuple(column_widths(df).first()) == (6, 30) and tuple(column_widths(df.limit(0)).first()) == (3, 0)
+
+
+def test_visiting_order_by_joins_is_the_permutation(spark):
+    for n in (1, 2, 3, 50, 700):
+        ids = users(spark, [5 * i + 1 for i in range(n)])
+        want = {r.tid: r.turn for r in structure.turns(ids).collect()}
+        assert {r.tid: r.turn for r in structure.turns(ids, limit=0).collect()} == want and sorted(want.values()) == list(range(n))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.functions import scalars as S
-from arbora.sources import crawl
+from arbora import render
+from arbora.sources import api, crawl
 
 
 def one(spark, column):
@@ -49,9 +50,68 @@ def test_payloads(spark):
 
 
 def test_protocol(spark):
-    raw = spark.createDataFrame([('{"cmd":"run"}',), ('{"cmd":"stop"}',), ('{"cmd":"jump"}',), ("?",)], "value string")
-    kinds = [json.loads(r.line)["type"] for r in crawl.responses(crawl.parse_requests(raw)).collect()]
-    assert kinds == ["ok", "bye", "error", "error"]
+    texts = ['{"cmd":"start"}', '{"cmd":"pause"}', '{"cmd":"pause"}', '{"cmd":"status"}', '{"cmd":"start"}', '{"cmd":"jump"}', "?"]
+    raw = spark.createDataFrame(list(enumerate(texts)), "seq int, value string")
+    snapshot = spark.createDataFrame([(3,)], "pending long")
+    got = crawl.responses(crawl.parse_requests(raw), snapshot).orderBy("seq").collect()
+    ok = lambda msg: {"type": "ok", "data": {"msg": msg}}
+    want = [ok("already running"), ok("paused"), ok("already paused"), {"type": "ok", "data": {"pending": 3}}, ok("started")]
+    assert [json.loads(r.line) for r in got] == [*want, {"type": "error", "msg": "unknown command: jump"}, {"type": "error", "msg": "unknown command: "}]
+    back = crawl.parse_responses(crawl.event_lines(spark.createDataFrame([("user_done", "a")], "event string, login string")), "line").first()
+    assert back.type == "event" and json.loads(back.data) == {"event": "user_done", "login": "a"}
+
+
+def landed(root):
+    lists = {"a": (["b", "c", "d"], ["b"]), "b": ([], ["a"]), "hub": (["a"], [])}
+    (root / "users").mkdir()
+    for login, sides in lists.items():
+        counts = {"login": login, "following": 9999 if login == "hub" else len(sides[0]), "followers": len(sides[1])}
+        (root / "users" / f"{login}.json").write_text(json.dumps(counts))
+        for side, peers in zip(api.SIDES, sides):
+            folder = root / side / login
+            folder.mkdir(parents=True)
+            for n in range(0, len(peers), 2):
+                (folder / f"{n // 2 + 1}.json").write_text(json.dumps([{"login": p} for p in peers[n : n + 2]]))
+    return str(root)
+
+
+def test_paged_lists_as_a_source(spark, tmp_path):
+    root = landed(tmp_path)
+    spark.dataSource.register(api.PageSource)
+    got = spark.read.format("arbora_pages").option("root", root).option("partitions", "3").load()
+    assert sorted((r.login, r.side, r.place, r.peer_login) for r in got.collect()) == [
+        ("a", "followers", 0, "b"), ("a", "following", 0, "b"), ("a", "following", 1, "c"), ("a", "following", 2, "d"), ("b", "followers", 0, "a"), ("hub", "following", 0, "a"),
+    ]
+
+
+def test_crawlers_read_no_lists_of_hubs(spark, tmp_path):
+    root = landed(tmp_path)
+    scopes = spark.createDataFrame([("a", 1), ("hub", 2), ("nobody", 3)], "login string, seq long")
+    got = {r.login: ([u.login for u in r.following], [u.login for u in r.followers], r.following_count) for r in api.crawl_scopes(scopes, "follow_crawler", root=root).collect()}
+    assert got == {"a": (["b", "c", "d"], ["b"], 3), "hub": ([], [], 9999)}
+
+
+def test_quota_and_abort(tmp_path):
+    assert api.pause_seconds(api.Rate(remaining=5), 100) == 0 and api.pause_seconds(api.Rate(remaining=4, reset_at=130), 100) == 30 and api.pause_seconds(api.Rate(remaining=0, reset_at=90), 100) == 60
+    source, calls = api.FolderApi(landed(tmp_path)), iter([False, True])
+    assert [u["login"] for u in api.listed(source, "a", "following", lambda: next(calls))] == ["b", "c"]
+
+
+def test_text_layout():
+    tree = render.tree(render.Node("root", [render.Node("a", [render.Node("b")]), render.Node("c")]))
+    assert tree == "root\n├─ a\n│  └─ b\n└─ c"
+    assert render.grid(["name", "n"], [["中", 5], ["abc", 1200]]) == "name      n\n中        5\nabc   1,200"
+    assert render.report("x", []) == "== x\n-- 0 rows" and render.width("\x1b[1mab\x1b[0m中") == 4
+
+
+def test_commands(spark, data):
+    from arbora import cli
+
+    for words in (["common", "hub-1002b3", "hub-10032s"], ["--json", "communities", "--user", "hub-100000", "--limit", "2"], ["bridges", "--limit", "3"], ["stats"]):
+        out = cli.lines(spark, cli.parser().parse_args([data, *words]))
+        assert out and all(out)
+    with pytest.raises(SystemExit):
+        cli.lines(spark, cli.parser().parse_args([data, "user", "nobody at all"]))
 
 
 def test_export_document(spark, tmp_path):
