@@ -289,7 +289,7 @@ class Block:
                 return ends if whole and not any(text.startswith(q, at) for q in CJK_QUOTING) else goes_on
             if not whole:
                 return ends if text[max(0, opened - 20) : opened].rstrip()[-1:] in ("：", ":") else goes_on
-            said = any(w in CJK_SAYING or w[-1] in CJK_SAYING and w[:-1] not in self.known_cjk and len(w) < 3 for w in self.clause(at))
+            said = any(all(c in CJK_SAYING for c in w) for w in self.clause(at))
             return goes_on if said else ends
         if _CASELESS.match(after):
             return ends if not gap and after not in MARKS and whole else goes_on
@@ -298,14 +298,10 @@ class Block:
             return ends if not whole and opener else goes_on
         return ends if gap or not after.isdigit() else goes_on
 
-    @property
-    def known_cjk(self) -> frozenset:
-        return cjk_words(VOCABULARY)
-
     def clause(self, at: int) -> list[str]:
         """Words of a Chinese or Japanese clause, up to the next mark or quote."""
         m = _CLAUSE.match(self.text, at)
-        return word_path(m.group(), self.known_cjk)
+        return word_path(m.group(), cjk_words(VOCABULARY))
 
     def word(self, at: int) -> str:
         m = _WORD.match(self.text, at)

@@ -254,6 +254,36 @@ def test_sentence_boundaries(case):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [2, 400])
+def test_quotes_of_any_length_do_not_split(times):
+    speech = "It broke again. Why? " * times
+    text = f'He shouted "{speech.strip()}" and left the shop. It was quiet (we thought so. {speech.strip()}) at last. A 5" screen is small. Fine.'
+    assert [text[s:e][-12:] for s, e in sentences.sentences(text)] == ["ft the shop.", text[: text.index(" A 5")][-12:], "en is small.", "Fine."]
+
+
+def test_a_lexicon_is_learnt_from_all_texts(spark):
+    thai = ["ราคาถูกค่ะ", "ราคา 5 บาทครับ", "ซิปพังครับ", "ซิปดีค่ะ", "ราคาแพงนะคะ"]
+    texts = [f"{a} {b}" for a in thai for b in thai] * 3 + ["My Zing! lamp is dead.", "The Zing! hums.", "A Zing! lamp again.", "Really! It is"] + ["Delivery was late!\nDelivery took ages."] * 6
+    lexicon = sentences.learn(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))
+    assert {"ราคา", "ซิป"} <= lexicon.openers and lexicon.exclaimed == {"zing"} and "delivery" in lexicon.starters
+    cut = lambda t: [t[s:e] for s, e in sentences.sentences(t, lexicon)]
+    assert cut("ซิปพังครับราคาถูกค่ะ") == ["ซิปพังครับ", "ราคาถูกค่ะ"]
+    assert cut("the zing! lamp is dead") == ["the zing! lamp is dead"] and cut("it works! lamp is dead") == ["it works!", "lamp is dead"]
+    assert sentences.learn(spark.createDataFrame([], "text string")) == sentences.Lexicon()
+
+
+def test_time_is_linear_in_the_text():
+    import time
+
+    for part in ("It is good. Why? ", "a.", '"a. b" ', "(a. ", "ส่งไวดีค่ะราคา ", "“怎么又坏了？”弟弟喊道。", "one\n"):
+        took = []
+        for size in (20_000, 160_000):
+            began = time.process_time()
+            sentences.sentences(part * (size // len(part)))
+            took.append(time.process_time() - began)
+        assert took[1] < 20 * took[0] + 1
+
+
 def test_trailing_emoji_and_glued_sentences():
     cut = lambda t: [t[s:e] for s, e in sentences.sentences(t)]
     assert cut("Works great. 👍 Fine. :-) Good") == ["Works great. 👍", "Fine. :-)", "Good"]
