@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators import graph, users as U
 from arbora.operators.graph import all_paths, shortest_paths
+from arbora.runtime import numbered
 
 
 def _id(users: DataFrame, login: str) -> int | None:
@@ -41,8 +42,7 @@ def route(edges_follow: DataFrame, users: DataFrame, profiles: DataFrame, source
         out = shortest_paths(edges_follow, start, [end]).select(F.lit(0).alias("path_no"), "path")
     else:
         paths = all_paths(edges_follow, start, end, limit)
-        # Paths of one pair of users are numbered in one task; their number is what the caller asked for.
-        out = paths.select((F.row_number().over(Window.orderBy("ranks")) - 1).alias("path_no"), "path")
+        out = numbered(paths, [], ["ranks"], "n").select((F.col("n") - 1).cast("int").alias("path_no"), "path")
     return out.withColumn("hops", F.greatest(F.size("path") - 1, F.lit(0)))
 
 
