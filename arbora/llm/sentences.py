@@ -504,7 +504,7 @@ def learn(df: DataFrame, text: str = "text") -> Lexicon:
     """The lexicon of a corpus, counted over all its texts.
 
     A Thai word is a string of up to ``LONGEST`` letters that stands at least ``SEEN`` times and is bounded on both sides: by
-    the end of a run or by at least three different neighbours. It spans no polite particle and begins with no mark that
+    the end of a run or by at least three different neighbours. It holds no polite particle and begins with no mark that
     leans on the letter before. Opening words begin a share of ``OPENS`` of their runs. A word is written with an
     exclamation mark if it is followed by a small letter at least three times and in half of its occurrences so marked.
     Words of spaced scripts open sentences if a share of ``STARTS`` stands behind a line break or a mark of another kind
@@ -522,7 +522,7 @@ def learn(df: DataFrame, text: str = "text") -> Lexicon:
     right = counts.where("length(w) > 1").groupBy(F.expr("left(w, length(w) - 1)").alias("r")).agg(F.count("*").alias("rights"))
     left = counts.where("length(w) > 1").groupBy(F.expr("right(w, length(w) - 1)").alias("l")).agg(F.count("*").alias("lefts"))
     inner = "|".join(sorted(THAI_POLITE))
-    known = counts.where(f"length(w) between 2 and {LONGEST} and n >= {SEEN}").where(~F.col("w").rlike(r"^[\u0E30-\u0E3A\u0E45\u0E47-\u0E4E]") & ~F.col("w").rlike(f"(?:{inner})."))
+    known = counts.where(f"length(w) between 2 and {LONGEST} and n >= {SEEN}").where(~F.col("w").rlike(r"^[\u0E30-\u0E3A\u0E45\u0E47-\u0E4E]") & ~F.col("w").rlike(inner))
     known = known.join(right, F.col("w") == F.col("r"), "left").join(left, F.col("w") == F.col("l"), "left")
     known = known.where("(heads > 0 or lefts >= 3) and (tails > 0 or rights >= 3)").orderBy(F.desc("n"), "w").limit(WORDS)
     rows = known.select("w", (F.col("opened") >= F.col("n") * OPENS).alias("opens")).collect()

@@ -262,7 +262,7 @@ def test_quotes_of_any_length_do_not_split(times):
 
 
 def test_a_lexicon_is_learnt_from_all_texts(spark):
-    thai = ["ราคาถูกค่ะ", "ราคา 5 บาทครับ", "ซิปพังครับ", "ซิปดีค่ะ", "ราคาแพงนะคะ"]
+    thai = ["ราคาถูกค่ะ", "ราคา 5 บาทครับ", "ซิปพังครับ", "ซิปดีค่ะ", "ราคาแพงนะคะ", "ซิปขาดค่ะ"]
     texts = [f"{a} {b}" for a in thai for b in thai] * 3 + ["My Zing! lamp is dead.", "The Zing! hums.", "A Zing! lamp again.", "Really! It is"] + ["Delivery was late!\nDelivery took ages."] * 6
     lexicon = sentences.learn(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))
     assert {"ราคา", "ซิป"} <= lexicon.openers and lexicon.exclaimed == {"zing"} and "delivery" in lexicon.starters
