@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arbora.functions import scalars as S
 from arbora.operators import graph, queue, routes, structure
 from arbora.operators import users as U
-from arbora.runtime import table
+from arbora.runtime import shared_folder, table
 from arbora.sources import crawl, delivered as X, model
 from arbora.streaming import events as E
 
@@ -467,6 +469,15 @@ def edge_upsert_outcomes(s, d):
     return queue.upsert_edges(X.edges(s, d), X.edge_batch(s, d), _at())[1].groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(f"{_UPSERT} SELECT from_user_id, to_user_id, edge_type, degree, is_active FROM m")
+def edge_store_batch(s, d):
+    """The same batch put through the bucketed store, twice under one number as after a failure."""
+    store = E.EdgeStore(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}", X.edges(s, d))
+    for _ in range(2):
+        store.apply(X.edge_batch(s, d), 0)
+    return store.edges().select("from_user_id", "to_user_id", "edge_type", "degree", "is_active")
+
+
 @query(f"{_UPSERT} SELECT from_user_id, to_user_id, edge_type, 'added' AS action FROM m WHERE outcome IN ('new', 'reactivated')")
 def edge_history_delta(s, d):
     return queue.history_of(queue.upsert_edges(X.edges(s, d), X.edge_batch(s, d), _at())[1], _at()).drop("recorded_at")
@@ -565,9 +576,76 @@ def crawl_step_state(s, d):
     return _crawl(s, d)["state"].groupBy("status").agg(F.count("*").alias("n"))
 
 
+# Single transitions, on the scopes of the users that 4 follows where keys are asked for
+
+_KEYS = ", keys AS (SELECT u.login AS k FROM fol JOIN usr u ON u.id = fol.to_user_id WHERE fol.from_user_id = 4)"
+
+
+def _scopes(s, d):
+    mine = X.follows(s, d).where("from_user_id = 4").select(F.col("to_user_id").alias("id"))
+    return X.users(s, d).join(mine, "id").select(F.lit(queue.CRAWLER).alias("crawler_name"), F.col("login").alias("scope_key"))
+
+
+@query(f"{_KEYS} SELECT scope_key, status, CASE WHEN scope_key IN (SELECT k FROM keys) THEN 'high' ELSE priority END AS priority FROM state")
+def set_priority(s, d):
+    return queue.set_priority(X.crawl_state(s, d), _scopes(s, d), "high").select("scope_key", "status", "priority")
+
+
+@query(f"{_KEYS} SELECT scope_key, CASE WHEN scope_key IN (SELECT k FROM keys) THEN 'done' ELSE status END AS status, CASE WHEN scope_key IN (SELECT k FROM keys) THEN 1735689600000000 END AS crawled_us FROM state")
+def mark_done(s, d):
+    return queue.mark_done(X.crawl_state(s, d), _scopes(s, d), _at()).select("scope_key", "status", F.unix_micros("crawled_at").alias("crawled_us"))
+
+
+@query(f"{_KEYS} SELECT scope_key, CASE WHEN status = 'in_progress' AND scope_key IN (SELECT k FROM keys) THEN 'pending' ELSE status END AS status FROM state")
+def requeue_scopes(s, d):
+    return queue.requeue(X.crawl_state(s, d), _scopes(s, d)).select("scope_key", "status")
+
+
+_FIRST = "(SELECT min(scope_key) FROM state WHERE status = 'in_progress')"
+
+
+def _first_running(s, d) -> str:
+    return X.crawl_state(s, d).where("status = 'in_progress'").agg(F.min("scope_key")).first()[0]
+
+
+@query(f"SELECT scope_key, CASE WHEN scope_key = {_FIRST} THEN 'retry' ELSE status END AS status, CASE WHEN scope_key = {_FIRST} THEN error_count + 1 ELSE error_count END AS error_count, CASE WHEN scope_key = {_FIRST} THEN 'timed out' END AS last_error FROM state")
+def reset_to_retry(s, d):
+    """The first running scope back to the queue with an error."""
+    return queue.reset_to_retry(X.crawl_state(s, d), _first_running(s, d), "timed out").select("scope_key", "status", "error_count", "last_error")
+
+
+@query(f"SELECT scope_key, CASE WHEN scope_key = {_FIRST} THEN 'error' ELSE status END AS status, CASE WHEN scope_key = {_FIRST} THEN 'gone' END AS last_error FROM state")
+def mark_error(s, d):
+    return queue.mark_error(X.crawl_state(s, d), _first_running(s, d), "gone").select("scope_key", "status", "last_error")
+
+
 # Export, protocol
 
 
+@query("SELECT login, id, name, company, location, coalesce(followers, 0) AS followers, coalesce(following, 0) AS following FROM card")
+def profile_payloads(s, d):
+    """All users as profile objects of the API, and read back."""
+    raw = U.as_json(U.with_profiles(*_users(s, d)), "value")
+    return crawl.parse_profiles(raw).select("login", "id", "name", "company", "location", "followers", "following")
+
+
+@query("SELECT a.login, row_number() OVER (PARTITION BY a.id ORDER BY b.login) - 1 AS place, b.login AS peer_login FROM fol JOIN usr a ON a.id = fol.from_user_id JOIN usr b ON b.id = fol.to_user_id")
+def paged_lists(s, d):
+    """Every list of followed users as pages of the API, and read back."""
+    u = X.users(s, d)
+    named = X.follows(s, d).join(u.withColumnsRenamed({"id": "from_user_id", "login": "owner"}), "from_user_id").join(u.withColumnsRenamed({"id": "to_user_id", "login": "peer"}), "to_user_id")
+    page = F.floor((F.col("n") - 1) / crawl.PAGE_SIZE) + 1
+    placed = queue.numbered(named.select("owner", "peer"), ["owner"], ["peer"], "n").withColumn("page", page.cast("int"))
+    item = F.struct("n", F.struct(F.col("peer").alias("login"), F.lit(None).cast("string").alias("avatar_url")).alias("u"))
+    pages = placed.groupBy(F.col("owner").alias("login"), "page").agg(F.to_json(F.array_sort(F.collect_list(item)).getField("u")).alias("value"))
+    return crawl.parse_pages(pages).select("login", F.col("place").cast("long").alias("place"), "peer_login")
+
+
+@query("""SELECT CAST(to_json({'id': id, 'login': login, 'name': name, 'company': company, 'location': location, 'followers': followers, 'following': following, 'public_repos': public_repos}) AS VARCHAR) AS json FROM card""")
+def json_lines(s, d):
+    return U.as_json(U.with_profiles(*_users(s, d)))
+
+
 @query("SELECT id, login, name, company, location, followers, following, public_repos FROM card")
 def export_users(s, d):
     return U.export_users(*_users(s, d))
@@ -628,9 +706,9 @@ _WIDTH = "(length_grapheme({c}) + length(regexp_replace({c}, '[^\\x{{1100}}-\\x{
 _BLANKS = f"repeat(' ', greatest(10 - {_WIDTH.format(c='location')}, 0))"
 
 
-@query(f"SELECT user_id, CASE WHEN length_grapheme(name) <= 12 THEN name ELSE left_grapheme(name, 11) || '…' END AS short, location || {_BLANKS} AS wide, {_BLANKS} || location AS right FROM prof")
+@query(f"SELECT user_id, CASE WHEN length_grapheme(name) <= 12 THEN name ELSE left_grapheme(name, 11) || '…' END AS short, location || {_BLANKS} AS wide, {_BLANKS} || location AS right, {_WIDTH.format(c='name')} AS width FROM prof")
 def truncate(s, d):
-    return X.profiles(s, d).select("user_id", S.truncate(F.col("name"), 12).alias("short"), S.pad_right(F.col("location"), 10).alias("wide"), S.pad_left(F.col("location"), 10).alias("right"))
+    return X.profiles(s, d).select("user_id", S.truncate(F.col("name"), 12).alias("short"), S.pad_right(F.col("location"), 10).alias("wide"), S.pad_left(F.col("location"), 10).alias("right"), S.visible_width(F.col("name")).cast("long").alias("width"))
 
 
 @query("SELECT update_id, substr(updated_at, 1, 10) AS day FROM profile_updates")
@@ -660,6 +738,19 @@ def edge_texts(s, d):
     return e.select(S.directed_edge(F.col("from"), F.col("to")).alias("text"))
 
 
+@query("SELECT user_id, CASE WHEN len(l) > 2 THEN array_to_string(l[:2], ' · ') || ' · … ' || (len(l) - 2) || ' more' ELSE array_to_string(l, ' · ') END AS text, greatest(len(l) - 1, 0) AS hops FROM (SELECT user_id, list_filter([name, company, location], lambda x: x IS NOT NULL) AS l FROM prof) x")
+def chain_texts(s, d):
+    """What is known of each user as a chain of at most two texts and a count of the rest."""
+    known = F.array_compact(F.array("name", "company", "location"))
+    return X.profiles(s, d).select("user_id", S.path_chain(S.listed(known, 2)).alias("text"), S.hops(known).cast("long").alias("hops"))
+
+
+@query("SELECT max(seq) AS seq, arg_max(status, seq) AS status FROM state")
+def latest_status(s, d):
+    """The last of a row of snapshots, which replace each other."""
+    return E.latest_status(X.crawl_state(s, d).select(F.col("seq").alias("ts"), "status")).select(F.col("ts").alias("seq"), "status")
+
+
 # Event stream: driven over the event file with availableNow, compared with the batch form
 
 _EVENTS = ", ev AS (SELECT event_id, ts, user_id, CASE WHEN event_type IN ('purchase', 'view') THEN 'user_done' ELSE 'user_queued' END AS event FROM events)"

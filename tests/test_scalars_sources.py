@@ -91,6 +91,22 @@ def test_crawlers_read_no_lists_of_hubs(spark, tmp_path):
     assert got == {"a": (["b", "c", "d"], ["b"], 3), "hub": ([], [], 9999)}
 
 
+def test_store_keeps_schemas_and_versions(spark, tmp_path):
+    from arbora.sources.store import TABLES, Store
+
+    store = Store(spark, str(tmp_path))
+    assert all(store.table(name).count() == 0 for name in TABLES)
+    store.replace("users", spark.createDataFrame([("7", "a", "x")], "id string, login string, extra string"))
+    store.replace("users", store.table("users").unionByName(store.table("users")))
+    again = Store(spark, str(tmp_path))
+    assert [(r.id, r.login, r.discovered_at) for r in again.table("users").collect()] == [(7, "a", None)] * 2
+    with pytest.raises(ValueError):
+        store.replace("users", spark.createDataFrame([(1,)], "id long"))
+    with pytest.raises(Exception, match="null"):
+        store.replace("users", spark.createDataFrame([(1, None)], "id long, login string"))
+    assert Store(spark, str(tmp_path)).table("users").count() == 2
+
+
 def test_quota_and_abort(tmp_path):
     assert api.pause_seconds(api.Rate(remaining=5), 100) == 0 and api.pause_seconds(api.Rate(remaining=4, reset_at=130), 100) == 30 and api.pause_seconds(api.Rate(remaining=0, reset_at=90), 100) == 60
     source, calls = api.FolderApi(landed(tmp_path)), iter([False, True])
