@@ -85,6 +85,9 @@ _WORDISH = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]+")
 _AFTER_CJK = regex.compile(r"[^\p{Han}\p{Hiragana}\p{Katakana}ー]+$|[\p{Han}\p{Hiragana}\p{Katakana}ー]?$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’]+")
 _NEXT = regex.compile(rf"([{SPACE}]*)(.?)", regex.S)
+_NUMBER, _DAY, _DOTTED = regex.compile(r"[\d.,]+"), regex.compile(r"\d{1,2}(?:\.\d{1,2})?"), regex.compile(r"(?:\p{L}\.)+\p{L}")
+_DIGIT_END, _CAPITAL_END = regex.compile(r"\d\s?$"), regex.compile(r"[.\p{Lu}]\s*$")
+_DEVANAGARI, _WORDY, _BREAK = regex.compile(r"\p{Devanagari}"), regex.compile(r"[\p{L}\p{N}]"), regex.compile("\r\n|[\n\r\u2028\u2029\x85]")
 _LETTER = regex.compile(r"\p{L}")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
 _CLAUSE = regex.compile(r"[^。！？!?\n「『“«„（(]*")
@@ -159,9 +162,8 @@ class Block:
 
     def __init__(self, text: str, lexicon: Lexicon):
         self.text, self.lexicon = text, lexicon
-        latin = [c for c in text if c.isalpha() and (c.islower() or c.isupper())]
-        upper = sum(c.isupper() for c in latin)
-        self.cased = bool(latin) and 0 < upper < 0.7 * len(latin)
+        upper = sum(map(str.isupper, text))
+        self.cased = 0 < upper < 0.7 * (upper + sum(map(str.islower, text)))
         # Word before each position, found as the marks come in order.
         self.words = [m.span() for m in _WORDISH.finditer(text)]
         self.reached = 0
@@ -221,15 +223,18 @@ class Block:
 
     def step(self, best: list, at: int, readings) -> list:
         """The hypotheses behind one more node: ``readings`` gives the costs of an end at ``at`` and of none."""
-        ended = within = None
+        ended, within, sure = None, None, False
         for cost, start, chain in best:
             end, none = readings(start)
             if ended is None or cost + end < ended[0]:
                 stop = self.trail(at)
                 ended = (cost + end, self.first(stop), (stop, chain))
+                sure = end < NEVER <= none
             if within is None or cost + none < within[0]:
                 within = (cost + none, start, chain)
-        return [ended, within]
+        if sure:
+            return [ended]
+        return [within] if ended[0] >= within[0] + NEVER else [ended, within]
 
     def paired(self, tokens: list) -> dict[int, int]:
         """Tokens of quotes and brackets by their partner, in one pass; what has none is left out.
@@ -382,7 +387,7 @@ class Block:
                 return {"end": 0.0}
             if after.isalpha() and not _CASELESS.match(after) and (after.islower() or not self.cased):
                 alone = low.isalpha() and len(low) > 2 and low not in BEFORE_WORD | BEFORE_NAME | BEFORE_NUMBER
-                numbered = bool(regex.fullmatch(r"[\d.,]+", low)) and len(word) > 2
+                numbered = bool(_NUMBER.fullmatch(low)) and len(word) > 2
                 dotted = low in MAY_END and "." in low and opener
                 two = (alone or numbered or dotted) and word.lower() not in FILE_ENDINGS and len(word) > 1
                 if not two:
@@ -393,7 +398,7 @@ class Block:
             return out
         if _CASELESS.match(before[-1]):
             letters = len(_LETTER.findall(before))
-            return out | ({"abbreviation": 0.5} if letters == 1 or regex.match(r"\p{Devanagari}", before[-1]) and letters <= 3 else {})
+            return out | ({"abbreviation": 0.5} if letters == 1 or _DEVANAGARI.match(before[-1]) and letters <= 3 else {})
         if low in BEFORE_NAME:
             out["title"] = 0.2
         elif low in BEFORE_WORD:
@@ -408,12 +413,12 @@ class Block:
                 out["end"] = 0.5
         elif len(low) == 1 and low.isalpha():
             out["initial"] = 0.5
-            unit = bool(regex.search(r"\d\s?$", text[max(0, at - 3) : at - 1])) and not after.isdigit() and (opener or upper or not after.isalpha())
+            unit = bool(_DIGIT_END.search(text[max(0, at - 3) : at - 1])) and not after.isdigit() and (opener or upper or not after.isalpha())
             if unit:
                 out["end"] = 0.2  # a unit behind its number
             elif after.isdigit() or after.islower() or not self.cased or len(word) == 1:
                 out["end"] = 0.2 if face else 1.0
-            elif before.isupper() and opener and previous and previous not in BEFORE_NAME and not regex.search(r"[.\p{Lu}]\s*$", text[max(0, at - 4) : at - 1]):
+            elif before.isupper() and opener and previous and previous not in BEFORE_NAME and not _CAPITAL_END.search(text[max(0, at - 4) : at - 1]):
                 out["end"] = 0.2
             elif not after.isalpha() and after in "¿¡«„":
                 out["end"] = 0.2
@@ -421,18 +426,18 @@ class Block:
             out["initial"] = 0.5
             if opener and upper:
                 out["end"] = 0.2
-        elif regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
+        elif _DOTTED.fullmatch(low):
             out["initial"] = 0.5
             if starts and opener:
                 out["end"] = 0.2
-        elif regex.fullmatch(r"\d{1,2}(?:\.\d{1,2})?", low) and previous in ORDINAL:
+        elif _DAY.fullmatch(low) and previous in ORDINAL:
             out["ordinal"] = 0.2
         return out
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
     out, s = [], 0
-    for m in regex.finditer(r"\r\n|[\n\r  \x85]", text):
+    for m in _BREAK.finditer(text):
         out.append((s, m.start()))
         s = m.end()
     return [*out, (s, len(text))]
@@ -456,7 +461,7 @@ def sentences(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple[int,
     """(start, end) of each sentence in code points. None for null, empty and blank texts."""
     if not text or not text.strip(SPACE):
         return []
-    if not regex.search(r"[\p{L}\p{N}]", text):
+    if not _WORDY.search(text):
         lo = _TRIM.match(text)
         hi = len(text.rstrip(SPACE))
         return [(lo.end() if lo else 0, hi)]
