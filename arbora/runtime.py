@@ -123,7 +123,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     Rows are spread by ranges of (group, order), which cut a large group into pieces, and each piece adds what stands
     before it. ``order`` should leave no ties; null groups are groups.
     """
-    part, piece, before = scratch(df, "part"), scratch(df, "piece"), scratch(df, "before")
+    both = df.withColumn(name, F.lit(0))
+    part, piece, before = scratch(both, "part"), scratch(both, "piece"), scratch(both, "before")
     # Cut, so that both readings see the same ranges.
     placed = cut(df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()))
     inside = placed.withColumn(name, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)))

@@ -244,3 +244,56 @@ def test_visiting_order_by_joins_is_the_permutation(spark):
         ids = users(spark, [5 * i + 1 for i in range(n)])
         want = {r.tid: r.turn for r in structure.turns(ids).collect()}
         assert {r.tid: r.turn for r in structure.turns(ids, limit=0).collect()} == want and sorted(want.values()) == list(range(n))
+
+
+def test_numbering_in_groups_of_any_size(spark):
+    from arbora.runtime import numbered
+
+    rnd = random.Random(6)
+    rows = [("hot", rnd.random()) for _ in range(500)] + [("a", 2.0), ("a", 1.0), (None, 5.0), (None, 4.0)]
+    got = numbered(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], ["v"], "part")
+    assert got.columns == ["g", "v", "part"]
+    for g in ("hot", "a", None):
+        own = sorted(v for k, v in rows if k == g)
+        assert sorted((r.part, r.v) for r in got.collect() if r.g == g) == list(enumerate(own, 1))
+    assert numbered(spark.createDataFrame([], "g string, v double"), [], ["v"], "n").count() == 0
+
+
+def test_newest_events_of_each_type(spark):
+    from arbora.streaming.events import newest
+
+    rows = [(i, f"2024-01-01 00:{i // 10:02}:00" if i else None, "a" if i % 3 else "b") for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, event string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for most in (1, 7, 1000):
+        got = {(r.event, r.place): r.event_id for r in newest(df, most).collect()}
+        for kind in "ab":
+            own = [i for i, _, e in sorted(rows, key=lambda r: (r[1] or "", r[0]), reverse=True) if e == kind][:most]
+            assert [got[kind, n + 1] for n in range(len(own))] == own
+        assert len(got) == min(most, 80) + min(most, 40)
+
+
+def test_standing_edges_take_the_row_seen_last(spark):
+    from arbora.sources.model import follows as standing_follows
+    from arbora.sources.model import latest_edges, standing
+
+    rows = [(1, 2, "follows", 1, "2024-01-01"), (1, 2, "follows", 0, "2024-01-02"), (1, 3, "follows", 0, "2024-01-01"), (1, 3, "follows", 1, "2024-01-01"), (1, 4, "follows", 1, None), (1, 5, "starred", 1, "2024-01-01"), (1, 6, "follows", 1, "1960-01-01"), (1, 6, "follows", 0, None)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "from_user_id long, to_user_id long, edge_type string, is_active int, last_seen_at string, metadata string").withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp"))
+    want = {(1, 3), (1, 4), (1, 6)}
+    assert {tuple(r) for r in standing(df, "follows").collect()} == want == {tuple(r) for r in standing_follows(latest_edges(df)).collect()}
+
+
+def test_common_followings_of_given_pairs(spark):
+    f = follows(spark, [(1, 5), (2, 5), (1, 6), (2, 6), (3, 6), (1, 2), (1, 5)])
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 1), (3, 1), (9, 1)], "a long, b long")
+    assert sorted(map(tuple, U.common_of_pairs(f, pairs).collect())) == [(1, 2, 5), (1, 2, 6), (3, 1, 6)]
+
+
+def test_first_run_and_config(spark):
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    profiles = none("user_id long, name string, followers long, fetched_at timestamp")
+    seed = spark.createDataFrame([("me", "Me", 3)], "login string, name string, followers long").withColumn("fetched_at", F.current_timestamp())
+    first = queue.bootstrap(none("id long, login string"), profiles, none(STATE), none("key string, value string"), seed)
+    assert [tuple(r) for r in first["users"].collect()] == [(1, "me")] and queue.get_config(first["config"], "seed").first().value == "me"
+    assert [(r.user_id, r.name) for r in first["profiles"].collect()] == [(1, "Me")] and [r.scope_key for r in queue.pending_scopes(first["state"]).collect()] == ["me"]
+    again = queue.bootstrap(first["users"], first["profiles"], first["state"], first["config"], seed.withColumn("login", F.lit("you")))
+    assert again["users"].count() == 1
