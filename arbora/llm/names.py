@@ -459,7 +459,9 @@ def same_person(profiles: DataFrame, canonical: DataFrame, broadcast_limit: int
     """
     rows = profiles.select(F.col("user_id").cast("long").alias("user_id"), F.col("name").alias("typed"), "company")
     rows = cut(rows.where("user_id is not null and typed is not null and company is not null").distinct())
-    block = cut(blocks(rows.groupBy("company").agg(F.count("*").alias("n")), canonical, broadcast_limit, component_limit))
+    # Cut first: a repartition right behind a grouping by the same column would be planned away, and its tasks with it.
+    companies = cut(rows.groupBy("company").agg(F.count("*").alias("n")))
+    block = cut(blocks(companies, canonical, broadcast_limit, component_limit))
     name = cut(rows.select("typed", F.col("typed").alias("w")).distinct().mapInArrow(_cleaned(name_tokens), "v string, clean string"))
     accounts = cut(rows.join(small(block), "company").join(name, F.col("typed") == F.col("v")).select("user_id", "block", F.col("clean").alias("name")).distinct())
     spelt = cut(accounts.select("block", "name").distinct().withColumn("s", F.monotonically_increasing_id()))
