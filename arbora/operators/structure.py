@@ -22,6 +22,8 @@ COMPONENT_LIMIT = 500_000
 #: Multiplier of the visiting order (fixed value).
 VISIT = 2654435761
 SWEEPS = 10
+#: Steps of a sweep where the nodes of a large component move at once.
+TURNS = 8
 
 
 def _simple(follows: DataFrame) -> DataFrame:
@@ -195,11 +197,12 @@ def _moves_kernel(m: float):
 
 
 def _moves_distributed(entries: DataFrame, m: float) -> DataFrame:
-    """Communities of components too large for a kernel: every sweep, the half of the nodes whose turn it is (by a hash)
-    move at once to the neighbouring community of the largest gain. An approximation of the sequential order."""
+    """Communities of components too large for a kernel: a sweep has ``TURNS`` steps, and in each the nodes whose turn it is (by
+    a hash) move at once to the neighbouring community of the largest gain. An approximation of the sequential order."""
     degree = cut(entries.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("k")))
     home = cut(degree.select("v", "k", F.col("v").alias("c")))
-    for sweep in range(SWEEPS):
+    moved = 0
+    for step in range(SWEEPS * TURNS):
         totals = home.groupBy(F.col("c").alias("tc")).agg(F.sum("k").alias("tot"))
         there = home.select(F.col("v").alias("w"), F.col("c").alias("wc"))
         inside = entries.join(there, F.col("dst") == F.col("w")).groupBy(F.col("src").alias("iv"), F.col("wc")).agg(F.count("*").alias("links"))
@@ -208,13 +211,16 @@ def _moves_distributed(entries: DataFrame, m: float) -> DataFrame:
         stay = inside.select(F.col("iv").alias("sv"), F.col("wc").alias("sc"), F.col("links").alias("stay"))
         scored = scored.join(stay, (F.col("v") == F.col("sv")) & (F.col("c") == F.col("sc")), "left")
         gain = (F.col("links") - F.coalesce("stay", F.lit(0))) / F.lit(m) - F.col("k") * (F.col("tot") - (F.col("old_tot") - F.col("k"))) / F.lit(2 * m * m)
-        turn = F.pmod(F.xxhash64("v", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
+        turn = F.pmod(F.xxhash64("v", F.lit(step // TURNS)), F.lit(TURNS)) == step % TURNS
         moves = scored.where((F.col("wc") != F.col("c")) & turn).withColumn("gain", gain).where("gain > 0")
         best = moves.groupBy("v").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("wc").alias("to"))).getField("to").alias("to"))
-        step = cut(home.join(best, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-        home = step.select("v", "k", "c")
-        if sweep % 2 and step.where("moved").isEmpty():
-            break
+        after = cut(home.join(best, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+        moved += after.where("moved").count()
+        home = after.select("v", "k", "c")
+        if step % TURNS == TURNS - 1:
+            if not moved:
+                break
+            moved = 0
     names = home.groupBy("c").agg(F.min("v").alias("community"))
     return home.join(names, "c").select(F.col("v").alias("id"), "community")
 
