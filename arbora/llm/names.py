@@ -281,21 +281,24 @@ def cosine_links(rows: DataFrame, vector, least: float) -> DataFrame:
     weights = small(cut(feats.groupBy("g").agg(F.log(F.lit(total + 1.0) / F.count("*")).alias("w"), F.count("*").alias("df"))))
     whole = Window.partitionBy("s")
     square = F.col("x") * F.col("x")
-    vectors = feats.join(weights, "g").withColumn("x", F.col("k") * F.col("w")).withColumn("x", F.col("x") / F.sqrt(F.sum(square).over(whole)))
     # Block and n-gram as one hash of 64 bits: in 10^12 pairs of names two that differ meet by chance once in 70,000 times.
-    vectors = cut(vectors.where("x > 0").join(rows.select("s", "block"), "s").select("s", F.xxhash64("block", "g").alias("h"), "df", "x"))
+    vectors = feats.join(weights, "g").join(small(rows.select("s", "block")), "s").select("s", F.xxhash64("block", "g").alias("h"), "df", (F.col("k") * F.col("w")).alias("x"))
+    vectors = vectors.where("x > 0").withColumn("x", F.col("x") / F.sqrt(F.sum(square).over(whole)))
     # Rarest first; of two prefixes one ends first, and all its n-grams that the other sends too are met. What is missing
     # is its unsent rest with what the other holds behind the last n-gram that both send.
     order = whole.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
-    sent = vectors.withColumn("left", F.lit(1.0) - F.coalesce(F.sum(square).over(order), F.lit(0.0)))
-    prefix = sent.where(F.col("left") > least * least - 1e-9).withColumn("after", F.sqrt(F.greatest(F.lit(0.0), F.col("left") - square)))
-    prefix = cut(prefix.select("s", "h", F.col("x").cast("float").alias("x"), F.col("after").cast("float").alias("after"), F.min("after").over(whole).cast("float").alias("rest")))
-    side = lambda n: prefix.select("h", F.col("s").alias(n), F.col("x").alias(f"x{n}"), F.col("after").alias(f"f{n}"), F.col("rest").alias(f"r{n}"))
+    left = vectors.withColumn("left", F.lit(1.0) - F.coalesce(F.sum(square).over(order), F.lit(0.0)))
+    held = left.withColumns({"sent": F.col("left") > least * least - 1e-9, "after": F.sqrt(F.greatest(F.lit(0.0), F.col("left") - square)).cast("float")})
+    # One written table for all: both windows are by s, so the vectors were shuffled once.
+    vectors = cut(held.select("s", "h", "x", "sent", "after", F.min(F.when(F.col("sent"), F.col("after"))).over(whole).alias("rest")))
+    side = lambda n: vectors.where("sent").select("h", F.col("s").alias(n), F.col("x").cast("float").alias(f"x{n}"), F.col("after").alias(f"f{n}"), F.col("rest").alias(f"r{n}"))
     more = F.min(F.greatest(F.col("ra") * F.col("fb"), F.col("rb") * F.col("fa"))).alias("more")
     shared = side("a").join(side("b"), "h").where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), more)
     met = cut(shared.where(F.col("dot") + F.col("more") >= least - ROUNDING).select("a", "b"))
-    one, two = vectors.select(F.col("s").alias("a"), "h", F.col("x").alias("xa")), vectors.select(F.col("s").alias("b"), "h", F.col("x").alias("xb"))
-    exact = met.join(one, "a").join(two, ["b", "h"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("score"))
+    # Only vectors of pairs that met go on.
+    one = vectors.select(F.col("s").alias("a"), "h", F.col("x").alias("xa")).join(small(met), "a")
+    two = vectors.select(F.col("s").alias("b"), "h", F.col("x").alias("xb")).join(small(met.select("b").distinct()), "b", "left_semi")
+    exact = one.join(two, ["b", "h"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("score"))
     return exact.where(F.col("score") >= least)
 
 
