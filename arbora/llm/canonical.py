@@ -15,7 +15,6 @@ against the keys it met: the same keys, bounds and frequencies, and so the same
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from functools import lru_cache
@@ -77,6 +76,8 @@ def tokens(text: str) -> tuple[list[str], list[bool]]:
 
 def distance(a: str, b: str, most: float) -> float:
     """Weighted Damerau-Levenshtein distance (restricted transpositions); anything above ``most`` may come as infinity."""
+    if a == b:
+        return 0.0
     if abs(len(a) - len(b)) > most / 0.2:
         return float("inf")
     before, last = None, [0.0]
@@ -106,8 +107,12 @@ def edits(length: int) -> int:
 
 def deletions(word: str, most: int) -> set[str]:
     """The first letters of ``word`` with up to ``most`` of them left out."""
-    start = word[:PREFIX]
-    return {"".join(c for i, c in enumerate(start) if i not in gone) for n in range(min(most, len(start)) + 1) for gone in itertools.combinations(range(len(start)), n)}
+    last = {word[:PREFIX]}
+    out = set(last)
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
 
 
 def company_keys(name: str, unique: set[str]) -> dict[str, str]:
