@@ -124,28 +124,29 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     else:
         met = window_minima(docs, "d", "dt", run).join(wanted, "m")
     pairs = cut(met.select(F.col("k").alias("d"), "i").distinct())
-    hit = pairs.select("d").distinct()
-    full = pairs.join(docs.join(hit, "d", "left_semi"), "d").join(tests.distinct(), "i")
-    return full.mapInArrow(_verify(run), "d long, i long").distinct().select(F.col("d").alias(doc_key), F.col("i").alias(item_key))
+    # A document's text goes to the check once, with all items it may hold.
+    asked = pairs.join(tests.distinct(), "i").groupBy("d").agg(F.collect_list(F.struct("i", "it")).alias("items"))
+    return docs.join(asked, "d").mapInArrow(_verify(run), "d long, i long").distinct().select(F.col("d").alias(doc_key), F.col("i").alias(item_key))
 
 
 def _verify(run: int):
     def work(batches):
         windows: dict[str, list[str]] = {}
         for b in batches:
-            keep, last, cleaned = [], None, ""
-            texts, tests = b.column("dt").to_pylist(), b.column("it").to_pylist()
-            for text, test in zip(texts, tests):
-                if text is not last:
-                    last, cleaned = text, letters(text)
-                if test not in windows:
-                    if len(windows) > 10_000:
-                        windows.clear()
-                    t = letters(test)
-                    windows[test] = [t[i : i + run] for i in range(len(t) - run + 1)]
-                keep.append(any(w in cleaned for w in windows[test]))
-            picked = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([picked.column("d"), picked.column("i")], names=["d", "i"])
+            found_d, found_i = [], []
+            for d, text, items in zip(b.column("d").to_pylist(), b.column("dt").to_pylist(), b.column("items").to_pylist()):
+                cleaned = letters(text)
+                for item in items:
+                    test = item["it"]
+                    if test not in windows:
+                        if len(windows) > 10_000:
+                            windows.clear()
+                        t = letters(test)
+                        windows[test] = [t[i : i + run] for i in range(len(t) - run + 1)]
+                    if any(w in cleaned for w in windows[test]):
+                        found_d.append(d)
+                        found_i.append(item["i"])
+            yield pa.RecordBatch.from_arrays([pa.array(found_d, pa.int64()), pa.array(found_i, pa.int64())], names=["d", "i"])
 
     return work
 

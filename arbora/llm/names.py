@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.canonical import BROADCAST_LIMIT, LEGAL_FORMS, SMALL_WORDS, distance, mapped, tokens, usable
 from arbora.operators.graph import components
-from arbora.runtime import cut, small
+from arbora.runtime import cut, release, small
 
 #: Cosine of a link between names, and between companies: also what clusters must reach on average.
 COSINE, COMPANY_COSINE = 0.15, 0.35
@@ -278,7 +278,8 @@ def cosine_links(rows: DataFrame, vector, least: float) -> DataFrame:
     """(a, b, score), a < b: all pairs of the ``rows`` (s, block, words) of one block with exact cosine at least ``least``."""
     feats = cut(rows.select("s", "words").mapInArrow(_vectors(vector), "s long, g string, k double"))
     total = rows.count()
-    weights = small(cut(feats.groupBy("g").agg(F.log(F.lit(total + 1.0) / F.count("*")).alias("w"), F.count("*").alias("df"))))
+    counted = cut(feats.groupBy("g").agg(F.log(F.lit(total + 1.0) / F.count("*")).alias("w"), F.count("*").alias("df")))
+    weights = small(counted)
     whole = Window.partitionBy("s")
     square = F.col("x") * F.col("x")
     # Block and n-gram as one hash of 64 bits: in 10^12 pairs of names two that differ meet by chance once in 70,000 times.
@@ -299,7 +300,9 @@ def cosine_links(rows: DataFrame, vector, least: float) -> DataFrame:
     one = vectors.select(F.col("s").alias("a"), "h", F.col("x").alias("xa")).join(small(met), "a")
     two = vectors.select(F.col("s").alias("b"), "h", F.col("x").alias("xb")).join(small(met.select("b").distinct()), "b", "left_semi")
     exact = one.join(two, ["b", "h"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("score"))
-    return exact.where(F.col("score") >= least)
+    out = cut(exact.where(F.col("score") >= least))
+    release(feats, counted, vectors, met)
+    return out
 
 
 def average_linkage(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -433,7 +436,7 @@ def _aligned(score):
 def linked(rows: DataFrame, vector, least: float, score, component_limit: int) -> DataFrame:
     """(s, cluster) of the ``rows`` (s, block, text, words) that have a variant: cosine links of the words, average linkage,
     then the links within clusters checked by ``score`` of the texts and what fails on average split off."""
-    links = cut(cosine_links(rows, vector, least))
+    links = cosine_links(rows, vector, least)
     found = clusters(links, least, component_limit)
     one, two = found.select(F.col("s").alias("a"), F.col("cluster").alias("ca")), found.select(F.col("s").alias("b"), F.col("cluster").alias("cb"))
     within = links.join(one, "a").join(two, "b").where("ca = cb").select("a", "b")

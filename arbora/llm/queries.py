@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, digits
+
 from pyspark.sql import functions as F
 
 from arbora.llm import bpe, canonical, leaks, names, sentences, setjoin
@@ -61,10 +63,13 @@ f AS (SELECT s.k, s.t, n.n FROM s JOIN n USING (k)),
 o AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS o FROM f a JOIN f b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2, 3, 4)
 """
 
-# Marks and signs go as in the operator; of case folding and compatibility forms this has what these texts need.
-_RUNS = r"""
-dl AS (SELECT doc_id, regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\p{L}\p{N}]+', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-il AS (SELECT item_id, regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\p{L}\p{N}]+', '', 'g') AS t FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+# Marks and signs go as in the operator; of case folding and compatibility forms this has what these texts need: ß and the
+# full-width letters and digits.
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in ascii_lowercase + digits)
+_LETTERS = f"regexp_replace(strip_accents(replace(translate(lower(text), '{_WIDE}', '{ascii_lowercase + digits}'), 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_RUNS = f"""
+dl AS (SELECT doc_id, {_LETTERS} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+il AS (SELECT item_id, {_LETTERS} AS t FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
 dw AS (SELECT DISTINCT doc_id, substr(t, CAST(i AS INTEGER), 50) AS w FROM dl, unnest(generate_series(1, length(t) - 49)) g(i)),
 iw AS (SELECT DISTINCT item_id, substr(t, CAST(i AS INTEGER), 50) AS w FROM il, unnest(generate_series(1, length(t) - 49)) g(i)),
 lk AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w))
