@@ -163,6 +163,7 @@ def components(nodes: DataFrame, links: DataFrame, residue: int = RESIDUE) -> Da
     for step in reversed(drawn):
         above = roots.select(F.col("x").alias("m"), F.col("r").alias("rr"))
         roots = cut(step.join(above, F.col("r") == F.col("m"), "left").select("x", F.coalesce("rr", "r").alias("r")))
+    release(left, *drawn)
     known = nodes.select("id").distinct().join(roots, F.col("id") == F.col("x"), "left").select("id", F.coalesce("r", "id").alias("r"))
     least = known.groupBy(F.col("r").alias("k")).agg(F.min("id").alias("component"))
     return known.join(least, F.col("r") == F.col("k")).select("id", "component")
