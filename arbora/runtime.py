@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     is an error. The folder goes when the application ends.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         set_by_hand = sc._jsc.sc().getCheckpointDir()
         base = set_by_hand.get() if set_by_hand.isDefined() else None

@@ -49,6 +49,18 @@ def test_trees_chains_and_loops(spark):
         assert result(spark, links, residue) == walked(links)
 
 
+def test_written_tables_can_be_stacked_and_released(spark):
+    from arbora.runtime import children, cut, release, shared_folder, stacked
+
+    folder = shared_folder(spark)
+    before = len(children(spark, folder))
+    parts = [cut(spark.range(n, n + 3)) for n in (0, 10)]
+    assert sorted(r.id for r in stacked(parts).collect()) == [0, 1, 2, 10, 11, 12]
+    assert len(children(spark, folder)) == before + 2
+    release(parts[0])
+    assert len(children(spark, folder)) == before + 1 and parts[1].count() == 3 and cut(spark.range(0)).count() == 0
+
+
 def test_estimates_do_not_grow_over_cuts(spark):
     from arbora.runtime import cut
 
