@@ -96,17 +96,14 @@ def all_paths(follows: DataFrame, source: int, target: int, limit: int = 0, most
     """
     spark = follows.sparkSession
     entries = cut(first_neighbours(adjacency(follows), most_neighbours).select("src", "dst", "rank"))
-    # Distances to the target along the entries that may be walked.
+    # Distances to the target along the entries that may be walked, as far as a path that has left the source can be from it.
     away, level = spark.createDataFrame([(target, 0)], "node long, away int"), 0
     front = away
-    while level < most_nodes - 1:
+    while level < most_nodes - 2:
         level += 1
         back = front.join(entries, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
         front = cut(back.join(away, "node", "left_anti").withColumn("away", F.lit(level)))
-        if front.isEmpty():
-            break
         away = away.unionByName(front)
-    away = cut(away)
     empty = spark.createDataFrame([], "path array<long>, ranks array<int>")
     if source == target:
         return spark.createDataFrame([([source], [])], empty.schema)

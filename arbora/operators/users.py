@@ -203,12 +203,18 @@ def co_targets(edges: DataFrame, edge_type: str, asked: DataFrame) -> DataFrame:
 
 
 def common_of_pairs(follows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, target): what both users of each of the given ``pairs`` (a, b) follow. The pairs meet the list of a, and what
-    comes of it the rows of b: nothing grows with the square of a hub's followers."""
-    distinct = pairs.where("a <> b").distinct()
-    listed = follows.select(F.col("from_user_id").alias("a"), F.col("to_user_id").alias("target")).distinct()
-    also = follows.select(F.col("from_user_id").alias("b"), F.col("to_user_id").alias("target")).distinct()
-    return distinct.join(listed, "a").join(also, ["b", "target"]).select("a", "b", "target")
+    """(a, b, target): what both users of each of the given ``pairs`` (a, b) follow.
+
+    The shorter of the two lists is laid out and looked up in the other, so a pair costs no more than the user who
+    follows less: a hub's own list is laid out only for pairs of hubs.
+    """
+    rows = follows.select(F.col("from_user_id").alias("u"), F.col("to_user_id").alias("target")).distinct()
+    counts = rows.groupBy("u").agg(F.count("*").alias("n"))
+    sized = pairs.where("a <> b").distinct().join(counts.select(F.col("u").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("u").alias("b"), F.col("n").alias("nb")), "b")
+    shorter = F.col("na") <= F.col("nb")
+    asked = sized.select("a", "b", F.when(shorter, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("y"))
+    laid = asked.join(rows.withColumnRenamed("u", "x"), "x")
+    return laid.join(rows.withColumnRenamed("u", "y"), ["y", "target"]).select("a", "b", "target")
 
 
 def export_users(users: DataFrame, profiles: DataFrame) -> DataFrame:
