@@ -185,11 +185,11 @@ class Block:
             if kind == "thai":
                 if not depth:
                     for joint in self.lexicon.thai_joints(text[at:end]):
-                        best = self.step(best, at + joint, lambda start: (0.0, NEVER))
+                        best = self.step(best, self.trail(at + joint), lambda start: (0.0, NEVER))
                 continue
             if kind == "gap":
                 if not depth and self.gap(at, end):
-                    best = self.step(best, at, lambda start: (0.0, NEVER))
+                    best = self.step(best, self.trail(at), lambda start: (0.0, NEVER))
                 continue
             if kind in ("straight", "open", "close"):
                 if n not in partner:
@@ -202,13 +202,13 @@ class Block:
                 if last_mark >= opened and not text[last_mark:at].strip(SPACE):
                     last_mark = end
                     if not depth:
-                        best = self.step(best, end, lambda start: self.closed(text[at], opened, end, start))
                         skip = self.trail(end)
+                        best = self.step(best, skip, lambda start: self.closed(text[at], opened, end, skip, start))
                 continue
             last_mark = end
             if not depth:
-                best = self.step(best, end, lambda start: self.mark(text[at:end], at, end, start))
                 skip = self.trail(end)
+                best = self.step(best, skip, lambda start: self.mark(text[at:end], at, end, skip, start))
         chain, ends = min(best, key=lambda h: h[0])[2], [len(text)]
         while chain:
             ends.append(chain[0])
@@ -221,13 +221,12 @@ class Block:
             s = max(s, self.first(e))
         return out
 
-    def step(self, best: list, at: int, readings) -> list:
-        """The hypotheses behind one more node: ``readings`` gives the costs of an end at ``at`` and of none."""
+    def step(self, best: list, stop: int, readings) -> list:
+        """The hypotheses behind one more node: ``readings`` gives the costs of an end at ``stop`` and of none."""
         ended, within, sure = None, None, False
         for cost, start, chain in best:
             end, none = readings(start)
             if ended is None or cost + end < ended[0]:
-                stop = self.trail(at)
                 ended = (cost + end, self.first(stop), (stop, chain))
                 sure = end < NEVER <= none
             if within is None or cost + none < within[0]:
@@ -276,11 +275,11 @@ class Block:
         before, after = self.text[at - 1], self.text[end : end + 1]
         return bool(after) and before not in "ๆ" and not before.isdigit() and not after.isdigit() and after not in MARKS and after not in ")]»”,;:"
 
-    def closed(self, char: str, opened: int, end: int, start: int) -> tuple[float, float]:
+    def closed(self, char: str, opened: int, end: int, stop: int, start: int) -> tuple[float, float]:
         """Costs behind a quote or bracket from ``opened`` that ended with a mark."""
         text, whole = self.text, opened <= start
         ends, goes_on = (0.2, 1.0), (1.0, 0.2)
-        face = self.trail(end) > end
+        face = stop > end
         m = _NEXT.match(text, end)
         gap, after, at = m.group(1), m.group(2), m.start(2)
         if not after or face:
@@ -330,14 +329,14 @@ class Block:
             previous = self.text[max(a, b - WORD_LETTERS) : b].lower()
         return tail, previous
 
-    def mark(self, mark: str, at: int, end: int, start: int) -> tuple[float, float]:
+    def mark(self, mark: str, at: int, end: int, stop: int, start: int) -> tuple[float, float]:
         """Costs of an end and of none at a run of marks outside all quotes and brackets."""
         text = self.text
         m = _NEXT.match(text, end)
         gap, after, next_at = m.group(1), m.group(2), m.start(2)
         if not after:
             return 0.0, NEVER
-        face = self.trail(end) > end
+        face = stop > end
         if not face and (after in ",;:，、；：" or after in "-–" and not gap):
             return NEVER, 0.0
         if any(c in "।॥؟۔" or c in STRONG_CJK for c in mark):
