@@ -99,7 +99,7 @@ def history(observations: DataFrame, key: str, instant: Column, attributes: list
     period = F.floor((F.col("at") - F.lit(span.lo)) / F.lit(width)).cast("int") if width else F.lit(0)
     starts = _named(_starts(placed.withColumn("p", period), len(attributes), len(latest)), key, attributes)
     tagged = F.floor((F.col("valid_from") - F.lit(span.lo)) / F.lit(width)).cast("int") if width else F.lit(0)
-    starts = cut(starts.withColumn("_period", tagged))
+    starts = cut(starts.withColumn("_period", tagged), by="_period")
     release(placed)
     done, current = [], None
     for p in range(periods if width else 1):

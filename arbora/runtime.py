@@ -79,14 +79,15 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for n in names if not n.startswith((".", "_")) or "=" in n)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the copy.
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the copy; with ``by`` in a folder for each value of that column, so that
+    readers of one value read no other.
 
     Lineage ends there, so lost executors do not matter, and the planner sees the size of the files: a frame cut again
     and again in a loop never carries over the product of earlier estimates, as ``checkpoint`` lets it.
     """
     spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    (df.write.partitionBy(by) if by else df.write).parquet(folder)
     return _stored(spark, df.schema, [folder])
 
 
