@@ -187,6 +187,52 @@ def test_cosine_links_are_all_pairs_above_the_cosine(spark):
     assert got == pytest.approx(want) and 100 < len(want) < len(cosine)
 
 
+def name_rows(n):
+    rnd = random.Random(6)
+    part = lambda: "".join(rnd.choice("aeiou" if k % 2 else "bdklmnrst") for k in range(rnd.randrange(3, 8)))
+    people = sorted({f"{part()} {part()}" for _ in range(n)})
+    return [(i, "x" if i % 5 else f"y{i % 35}", name) for i, name in enumerate(people)]
+
+
+def test_cosine_links_do_not_depend_on_slices_or_the_gram_limit(spark):
+    rows = spark.createDataFrame([*name_rows(600), (900, "alone", "bo lee")], "s long, block string, words string")
+    forms = ({}, {"slice_rows": 30}, {"slice_rows": 1}, {"gram_limit": 0}, {"gram_limit": 0, "slice_rows": 30})
+    got = [sorted(map(tuple, names.cosine_links(rows, names.name_vector, 0.15, **form).collect())) for form in forms]
+    assert len(got[0]) > 100 and all(x == got[0] for x in got)
+
+
+def test_large_pieces_of_products_are_taken_apart(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    row, key = np.nonzero(rnd.random((40, 12)) < 0.4)
+    x = rnd.random(len(row))
+    whole = np.zeros((40, 12))
+    whole[row, key] = x
+    for most in (1, 7, 100, 10**6):
+        monkeypatch.setattr(names, "PRODUCTS", most)
+        across = (row[row < 15], key[row < 15], x[row < 15]), (row[row >= 15], key[row >= 15], x[row >= 15])
+        for left, right, kept in (((row, key, x), None, lambda a, b: a < b), (*across, lambda a, b: a < 15 <= b)):
+            got = {(int(a), int(b)): s for found in names._products(left, right, 40, 0.5) for a, b, s in zip(*found)}
+            assert got == pytest.approx({(a, b): s for a in range(40) for b in range(40) if kept(a, b) and (s := whole[a] @ whole[b]) >= 0.5})
+
+
+def test_shuffle_of_cosine_links_does_not_follow_the_pairs(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    sizes = []
+    for n in (500, 2000):
+        rows = spark.createDataFrame(name_rows(n), "s long, block string, words string").coalesce(1)
+        before = shuffled()
+        names.cosine_links(rows, names.name_vector, 0.15)
+        sizes.append(shuffled() - before)
+    assert 0 < sizes[1] < 5 * sizes[0]
+
+
 def test_joined_names_are_taken_apart_by_other_names(spark):
     rows = [(1, "x", "beatricelomander"), (2, "x", "beatrice trovalen"), (3, "y", "harold lomander"), (4, "y", "lomanderx"), (5, "y", "j r smith"), (6, "y", "ann b smith")]
     got = {r.s: r.words for r in names.words_apart(spark.createDataFrame(rows, "s long, block string, name string")).collect()}
